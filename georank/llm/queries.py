@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from georank.llm import embedding_dedup, mixing, packing, simhash, topk
+from georank.llm import embedding_dedup, language_id, mixing, packing, simhash, topk, toxicity
 from georank.llm.common import ship
 
 
@@ -21,6 +21,20 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    profiles = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+
+
 def tokenizer_path() -> str:
     """The vocabulary file of the packing contract."""
     import public_tokenizers
@@ -91,6 +105,8 @@ FROM embeddings e LEFT JOIN deg d ON d.a = e.vec_id LEFT JOIN least l ON l.x = e
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op5_topk": op5_topk,
     "op8_embedding_dedup": op8_embedding_dedup,
