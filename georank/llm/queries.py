@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from georank.llm import embedding_dedup, language_id, mixing, packing, simhash, topk, toxicity
+from georank.llm import embedding_dedup, language_id, language_model, line_dedup, mixing, packing, simhash, topk, toxicity
 from georank.llm.common import ship
 
 
@@ -52,6 +52,15 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, details=True).select("doc_id", "n_lines", "n_deleted", "text")
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_read(spark, sf_dir, "documents"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
@@ -103,14 +112,50 @@ SELECT e.vec_id, COALESCE(d.n, 0)::BIGINT AS n_links, LEAST(e.vec_id, COALESCE(l
 FROM embeddings e LEFT JOIN deg d ON d.a = e.vec_id LEFT JOIN least l ON l.x = e.vec_id
 """
 
+#: Rounds of doubling in the SQL: more than the longest document's lines need.
+_LEVELS = 16
+
+_OP6 = (
+    r"""
+WITH doc AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+each AS (SELECT rid, doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS x FROM doc),
+wordy AS (SELECT *, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM each),
+l0 AS (SELECT rid, doc_id, i, row_number() OVER (PARTITION BY rid ORDER BY i) - 1 AS seq, md5(x) AS h, w FROM wordy WHERE w > 0),
+"""
+    + "".join(
+        f"""l{j} AS (SELECT * FROM (SELECT rid, doc_id, i, seq, md5(h || lead(h, {2 ** (j - 1)}) OVER d) AS h, w + lead(w, {2 ** (j - 1)}) OVER d AS w
+  FROM l{j - 1} WINDOW d AS (PARTITION BY rid ORDER BY seq)) WHERE h IS NOT NULL),
+"""
+        for j in range(1, _LEVELS)
+    )
+    + "".join(
+        f"""m{j} AS (SELECT rid, seq, {2**j} AS reach FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST, rid, seq) AS k FROM l{j}) WHERE k > 1 AND w >= 8),
+"""
+        for j in range(_LEVELS)
+    )
+    + "marks AS ("
+    + " UNION ALL ".join(f"SELECT * FROM m{j}" for j in range(_LEVELS))
+    + r"""),
+cover AS (SELECT l.rid, l.i, l.seq, max(l.seq + COALESCE(m.reach, 0)) OVER (PARTITION BY l.rid ORDER BY l.seq) AS stop
+  FROM l0 l LEFT JOIN (SELECT rid, seq, max(reach) AS reach FROM marks GROUP BY ALL) m ON m.rid = l.rid AND m.seq = l.seq),
+gone AS (SELECT rid, i FROM cover WHERE stop > seq),
+kept AS (SELECT e.rid, string_agg(e.x, chr(10) ORDER BY e.i) AS text, count(*) AS n FROM each e ANTI JOIN gone g ON g.rid = e.rid AND g.i = e.i GROUP BY e.rid)
+SELECT d.doc_id, COALESCE(len(d.lines), 0)::INTEGER AS n_lines, (COALESCE(len(d.lines), 0) - COALESCE(k.n, 0))::INTEGER AS n_deleted,
+  CASE WHEN d.text IS NULL THEN NULL ELSE COALESCE(k.text, '') END AS text
+FROM doc d LEFT JOIN kept k ON k.rid = d.rid
+"""
+)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op5_topk": op5_topk,
+    "op6_line_dedup": op6_line_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_simhash": op9_simhash,
+    "op10_language_model": op10_language_model,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op5_topk": _OP5, "op8_embedding_dedup": _OP8}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op5_topk": _OP5, "op6_line_dedup": _OP6, "op8_embedding_dedup": _OP8}
