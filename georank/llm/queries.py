@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from georank.llm import embedding_dedup, language_id, language_model, line_dedup, mixing, packing, simhash, topk, toxicity
+from georank.llm import embedding_dedup, language_id, language_model, license_scan, line_dedup, mixing, packing, simhash, topk, toxicity
 from georank.llm.common import ship
 
 
@@ -61,6 +61,13 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(_read(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    # The table has no paths: a document lies in its source's folder for each hundred ids.
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("cast(doc_id div 100 as string)"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.scan(docs, path)
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
@@ -153,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_topk": op5_topk,
     "op6_line_dedup": op6_line_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_simhash": op9_simhash,
     "op10_language_model": op10_language_model,

@@ -98,3 +98,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = joined.join(least, "component").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each component: that of the smallest id (null ids last); of rows with this id, the first in the table.
+
+    docs must be a table in storage: rows are known by their place in it. Columns stay as they are.
+    """
+    placed = docs.withColumn("__uid", F.monotonically_increasing_id())
+    rows = materialize(fingerprints(placed, shingle, "__uid", text_col).withColumnRenamed("doc_id", "uid"), "fingerprints-5")
+    ids = placed.select(F.col("__uid").alias("uid"), F.col(id_col).alias("id"))
+    # Of equal fingerprints the first row is known before links are looked for: one small row for each class.
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("first")
+    classes = materialize(rows.join(ids, "uid").groupBy("fp").agg(first), "fingerprint-classes")
+    linked = components(fingerprint_links(classes.select("fp"), radius), "simhash-components")
+    joined = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+    kept = joined.groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("first").alias("first")).select(F.col("first.uid").alias("__uid"))
+    return placed.join(kept, "__uid", "left_semi").select(*docs.columns)
