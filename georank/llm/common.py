@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from georank.shipping import ship as ship  # noqa: PLC0414  (for the queries and the pipeline)
+
 #: A word, as the query contracts define it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,20 +20,6 @@ BROADCAST_ROWS = 20_000
 _MID_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once a context, so that UDFs need no installation there."""
-    context = spark.sparkContext
-    if getattr(context, "_georank_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="georank-code-")) / "georank.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for source in sorted(package.rglob("*.py")):
-            z.write(source, source.relative_to(package.parent))
-    context.addPyFile(str(target))
-    context._georank_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
