@@ -35,7 +35,7 @@ def letters(text: str) -> np.ndarray:
 def ngram_counts(text: str | None, max_n: int = MAX_N) -> tuple[np.ndarray, np.ndarray]:
     """(codes, counts) of a text's n-grams of 1 to max_n signs with a letter among them; empty without letters.
 
-    An n-gram's code has 21 bits a sign, 0 between words. Texts of any length are counted in bounded pieces.
+    An n-gram's code has 21 bits a sign, 1 between words and a letter's code point plus 1. Texts of any length are counted in bounded pieces.
     """
     codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
     signs = letters(text or "")
@@ -44,11 +44,12 @@ def ngram_counts(text: str | None, max_n: int = MAX_N) -> tuple[np.ndarray, np.n
     for a in range(0, len(signs), CHUNK):
         part = signs[a : a + CHUNK + max_n - 1]
         grams = []
-        code = np.zeros(len(part), np.int64)
-        for n in range(1, max_n + 1):
-            code = (code[: len(part) - n + 1] << _BITS) | part[n - 1 :]
-            own = code[: min(len(code), CHUNK)]
-            grams.append(own[own != 0])
+        code, lettered = np.zeros(len(part), np.int64), np.zeros(len(part), bool)
+        for n in range(1, min(max_n, len(part)) + 1):
+            size = len(part) - n + 1
+            code = (code[:size] << _BITS) | (part[n - 1 :] + 1)
+            lettered = lettered[:size] | (part[n - 1 :] != 0)
+            grams.append(code[:CHUNK][lettered[:CHUNK]])
         new, n_new = np.unique(np.concatenate(grams), return_counts=True)
         merged, back = np.unique(np.concatenate([codes, new]), return_inverse=True)
         counts = np.bincount(back, np.concatenate([counts, n_new])).astype(np.int64)
