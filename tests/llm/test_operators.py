@@ -317,7 +317,7 @@ def test_line_dedup_odd(odd, none):
 def test_license_scan(spark, odd, none):
     mit, gpl = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["GPL-3.0"]
     filler = [(100 + i, f"some words of a usual file number {i} and others", f"r/z/{i}.txt") for i in range(60)]
-    files = [(1, mit, "r/LICENSE"), (2, "code here\nmore", "r/a/b/x.py"), (3, f"first\n{gpl}\nlast line of this", "r/a/y.py"), (4, gpl, "r/a/c/COPYING"), (5, "z", "r/a/c/d/z.py"),
+    files = [(1, mit, "r/LICENSE"), (2, "code here\nmore", "r/a/b/x.py"), (3, f"{' '.join(f'first{i}' for i in range(40))}\n{gpl}\nlast line", "r/a/y.py"), (4, gpl, "r/a/c/COPYING"), (5, "z", "r/a/c/d/z.py"),
              (6, "z", "q/z.py"), (7, None, None), (8, mit.replace("Released", "released"), None), (8, "", "r/e.txt")]
     df = spark.createDataFrame(files + filler, "doc_id long, text string, p string")
     got = defaultdict(list)
