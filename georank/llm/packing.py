@@ -20,7 +20,7 @@ END_ID = 1
 #: Tokens of one packing task: the whole input is dealt over total / GROUP_TOKENS groups.
 GROUP_TOKENS = 1 << 25
 #: Words that a worker remembers; the memory of a task's cache is bounded by it.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 #: Texts of these characters only are split by white space without changing any token: no combining marks
 #: and no context-dependent case below U+0250, and every other white space or control is left out.
@@ -149,22 +149,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_
     """pieces, a table written to storage, with sequence_id and offset (place in the sequence, gapless from 0).
 
     Rows are dealt evenly by a hash of their place in the table over as many groups as their tokens need, so equal
-    rows spread too; each group is packed by sum_of_squares in one task that holds a few numbers a row. A group
-    leaves at most a few sequences partly filled.
+    rows spread too; each group is packed by sum_of_squares in one task that holds a few numbers a row. The other
+    columns, ids among them, meet their places in a join that can spill. A group leaves at most a few sequences
+    partly filled. Columns of pieces named sequence_id or offset are replaced.
     """
+    pieces = pieces.drop("sequence_id", "offset").withColumn("__uid", F.monotonically_increasing_id())
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    dealt = pieces.select("__uid", "length", F.pmod(F.xxhash64("__uid"), F.lit(groups)).alias("__group"))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         bins, offsets = sum_of_squares(pdf["length"].to_numpy(np.int64), capacity)
-        group = pdf.pop("__group")
-        pdf["sequence_id"] = group.to_numpy(np.int64) * (1 << 32) + bins
-        pdf["offset"] = offsets
-        return pdf
+        return pd.DataFrame({"__uid": pdf["__uid"], "sequence_id": pdf["__group"].to_numpy(np.int64) * (1 << 32) + bins, "offset": offsets})
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return dealt.groupBy("__group").applyInPandas(place, f"{fields}, sequence_id bigint, offset bigint")
+    places = dealt.groupBy("__group").applyInPandas(place, "__uid bigint, sequence_id bigint, offset bigint")
+    return pieces.join(places, "__uid").drop("__uid")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
