@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from georank.shipping import ship as ship  # noqa: PLC0414  (for the queries and the pipeline)
 
@@ -78,6 +79,21 @@ def lookup_join(big: DataFrame, small: DataFrame, on, rows: int, how: str = "inn
     return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
+def least_hashes(rows: DataFrame, by: str, n: int, name: str) -> DataFrame:
+    """The n rows of each value of ``by`` (not null) with the least hash in column h; ties at the end are cut at will.
+
+    Hashes are counted by their upper 16 bits first, so that only the rows up to the bucket of the n-th travel, not
+    whole groups. What reaches one task is a count for each bucket, or n rows and a bucket's more.
+    """
+    bucket = F.shiftright("h", 48)
+    counts = rows.groupBy(by, bucket.alias("__b")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(by).orderBy("__b")) - F.col("__n")
+    last = materialize(counts.withColumn("__before", before).where(F.col("__before") < n).groupBy(by).agg(F.max("__b").alias("__last")), f"{name}-cutoffs")
+    near = lookup_join(rows, last, by, last.count()).where(bucket <= F.col("__last"))
+    placed = near.withColumn("__place", F.row_number().over(Window.partitionBy(by).orderBy("h")))
+    return placed.where(F.col("__place") <= n).select(*rows.columns)
+
+
 def _star_round(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges (hi, lo), hi > lo."""
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from georank.llm.common import least_hashes
+
 UND = "und"
 #: Production parameters: n-grams of a profile, letters of an n-gram, labelled documents a language is learned from.
 PROFILE, MAX_N, FIT_DOCS = 300, 3, 2000
@@ -99,8 +101,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ``size`` most frequent of each reach the driver.
     """
     picked = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")).where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy("h")
-    sample = picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fit_docs).select("lang", "text")
+    sample = least_hashes(picked, "lang", fit_docs, "languages").select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

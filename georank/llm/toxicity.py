@@ -10,9 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from georank.llm.common import materialize
+from georank.llm.common import least_hashes, materialize
 
 #: Production parameters: examples of each class, index terms, least document frequency and chi-square of a term,
 #: neighbours, examples of an index block, decision threshold.
@@ -150,17 +149,19 @@ def held_out(doc_id, modulus: int = 3, fold: int = 1):
 def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS) -> Model:
     """A model from the labelled rows of docs for which ``usable`` (a column of docs) holds.
 
-    At most fit_docs examples of each class (least hash of id) are the index; index terms are those of at least
+    At most fit_docs examples of each class (least hashes of id and text; equal rows count once) are the index; index terms are those of at least
     MIN_DF examples with the highest chi-square against the label, MAX_TERMS at most. Those bounds limit what the
     driver and the workers hold. Document frequencies for idf are counted over all rows of docs, whole texts. A
     document with several labels has the highest. Rows without an id, a label of 0 or 1 or a text teach nothing.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
     known = known.groupBy("id").agg(F.max("y").alias("y"))
-    texts = docs.where(usable & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    picked = texts.join(known, "id").withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")))
-    prior = {r["y"]: r["n"] for r in known.join(texts.select("id"), "id").groupBy("y").agg(F.count("*").alias("n")).collect()}
-    sample = materialize(picked.where(F.col("n") <= fit_docs).select("id", "y", "text"), "toxicity-sample")
+    texts = docs.where(usable & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    # Only ids and hashes meet the labels; the chosen few, at most fit_docs a class, then fetch their texts.
+    slim = materialize(texts.select("id", "h").join(known, "id"), "toxicity-labelled")
+    prior = {r["y"]: r["n"] for r in slim.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    chosen = least_hashes(slim, "y", fit_docs, "toxicity").distinct()
+    sample = materialize(texts.join(F.broadcast(chosen), ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "y", "text"), "toxicity-sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
