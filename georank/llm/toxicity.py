@@ -58,30 +58,46 @@ class BlockMaxIndex:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples with cosine above 0, ties to the lower place; exact.
 
-        Blocks go by falling bound, and the rest is passed over once their bound is below the k-th cosine.
+        Blocks go by falling bound, a few at first and then ever more at once; the rest is passed over once their
+        bound is below the k-th cosine.
         """
         places, scores = np.empty(0, np.int64), np.empty(0)
         if not len(terms) or not self.n:
             return places, scores
         bound = weights @ self.bounds[terms] + 1e-12
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 1e-12 or len(scores) == k and bound[b] < scores[-1]:
-                break
-            got = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                cell = t * self.n_blocks + b
-                a, z = self.starts[cell], self.starts[cell + 1]
-                if a < z:
-                    got[self.docs[a:z] - b * self.block] += w * self.weights[a:z]
-            if b * self.block <= skip < (b + 1) * self.block:
-                got[skip - b * self.block] = 0
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 1e-12]
+        done, step = 0, 4
+        while done < len(order):
+            blocks = order[done : done + step]
+            if len(scores) == k:
+                blocks = blocks[bound[blocks] >= scores[-1]]
+                if not len(blocks):
+                    break
+            got = self._accumulate(terms, weights, blocks)
+            if 0 <= skip < self.n:
+                got[skip] = 0
             own = np.flatnonzero(got)
-            places = np.concatenate([places, own + b * self.block])
+            places = np.concatenate([places, own])
             scores = np.concatenate([scores, got[own]])
+            if len(scores) > k:
+                high = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                places, scores = places[high], scores[high]
             best = np.lexsort((places, -scores))[:k]
             places, scores = places[best], scores[best]
+            done, step = done + step, step * 4
         return places, scores
 
+    def _accumulate(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Dense cosines by place, of these blocks' examples; all postings of the terms in the blocks at once."""
+        cells = (terms[:, None] * self.n_blocks + blocks).ravel()
+        first = self.starts[cells]
+        sizes = self.starts[cells + 1] - first
+        ends = np.cumsum(sizes)
+        at = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])
+        values = np.repeat(np.repeat(weights, len(blocks)), sizes) * self.weights[at]
+        return np.bincount(self.docs[at], values, minlength=self.n)
+
 
 def pool_adjacent(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weighted isotonic regression: knots x and their non-decreasing values."""
