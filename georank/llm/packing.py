@@ -19,13 +19,16 @@ CAPACITY = 4096
 END_ID = 1
 #: Tokens of one packing task: the whole input is dealt over total / GROUP_TOKENS groups.
 GROUP_TOKENS = 1 << 25
-#: Words that a worker remembers; the memory of a task's cache is bounded by it.
-CACHE_WORDS = 300_000
+#: Words that a worker remembers, about 200 bytes each; the memory of a task's cache is bounded by it.
+CACHE_WORDS = 600_000
 
 #: Texts of these characters only are split by white space without changing any token: no combining marks
 #: and no context-dependent case below U+0250, and every other white space or control is left out.
 _PLAIN = regex.compile(r"[^ -~\t\n\r¡-ɏ]")
 
+#: Marks that end many words.
+_MARKS = frozenset(".,;:!?")
+
 
 class WordEncoder:
     """A tokenizers file's ids for whole texts, by way of a bounded cache of word ids.
@@ -41,16 +44,38 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}  # little-endian 32-bit ids
         self.cache_words = cache_words
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None  # by id: whether a token ends a word
+        if suffix:
+            vocab = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.met_again: set[str] = set()  # words of the cache that a later block of texts had too
 
     def _learn(self, words: list[str]) -> None:
+        """Encode new words as texts of 2048 words; where each is one run of letters, its last token tells its end."""
+        letters = [w for w in words if w.isalpha()] if self.ends is not None else []
+        parts = [letters[i : i + 2048] for i in range(0, len(letters), 2048)]
+        for part, got in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                self._remember(part, ids, [0, *stops.tolist()])
+            else:
+                self._learn_by_offsets(part)
+        others = [w for w in words if not w.isalpha()] if self.ends is not None else words
+        for i in range(0, len(others), 2048):
+            self._learn_by_offsets(others[i : i + 2048])
+
+    def _learn_by_offsets(self, words: list[str]) -> None:
         """Encode new words as one text; a token belongs to the word in which it starts."""
-        for i in range(0, len(words), 2048):
-            part = words[i : i + 2048]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            raw = np.array(got.ids, "<u4").tobytes()
-            begins = np.cumsum([0, *[len(w) + 1 for w in part]])
-            first = (4 * np.searchsorted([o[0] for o in got.offsets], begins)).tolist()
-            self.cache.update((w, raw[a:b]) for w, a, b in zip(part, first, first[1:]))
+        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        begins = np.cumsum([0, *[len(w) + 1 for w in words]])
+        self._remember(words, np.array(got.ids, "<u4"), np.searchsorted([o[0] for o in got.offsets], begins).tolist())
+
+    def _remember(self, words: list[str], ids: np.ndarray, bounds: list[int]) -> None:
+        raw = ids.tobytes()
+        self.cache.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(words, bounds, bounds[1:]))
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if _PLAIN.search(t) else t.lower().split() for t in texts]
@@ -59,10 +84,18 @@ class WordEncoder:
             if words:
                 new.update(words)
         missing = new.difference(self.cache)
-        if len(self.cache) + len(missing) > self.cache_words:
-            self.cache.clear()
-            missing = new
-        self._learn(list(missing))
+        if len(self.cache) + len(missing) > self.cache_words:  # words met in one block only go
+            keep = new.union(self.met_again) if len(new) + len(self.met_again) <= self.cache_words // 2 else new
+            self.cache = {w: self.cache[w] for w in keep.intersection(self.cache)}
+            self.met_again = set()
+        self.met_again |= new - missing
+        # A word of letters and one last mark is its letters' ids and the mark's: the tokenizer parts them.
+        marked = {w for w in missing if w[-1] in _MARKS and w[:-1].isalpha()}
+        plain = missing - marked
+        plain.update(w[:-1] for w in marked)
+        plain.update(w[-1] for w in marked)
+        self._learn(list(plain.difference(self.cache)))
+        self.cache.update((w, self.cache[w[:-1]] + self.cache[w[-1]]) for w in marked)
         ids = self.cache.__getitem__
         return [
             np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4") if words is None
