@@ -1,7 +1,12 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes."""
+"""Toxicity by nearest labelled examples: exact cosine of whole texts over a block-max inverted index, distance-weighted votes.
+
+A word weighs TF-IDF times 1 + the root of its chi-square against the label; words that say nothing of the label, and
+words outside the examples, keep their TF-IDF weight. No word is left out.
+"""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -13,9 +18,8 @@ from pyspark.sql import functions as F
 
 from georank.llm.common import least_hashes, materialize
 
-#: Production parameters: examples of each class, index terms, least document frequency and chi-square of a term,
-#: neighbours, examples of an index block, decision threshold.
-FIT_DOCS, MAX_TERMS, MIN_DF, MIN_CHI2, K, BLOCK, THRESHOLD = 3000, 1000, 4, 20.0, 15, 64, 0.7
+#: Production parameters: examples of each class, neighbours, examples of an index block, decision threshold.
+FIT_DOCS, K, BLOCK, THRESHOLD = 3000, 15, 64, 0.7
 PRIOR_VOTE = 50.0
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -28,32 +32,43 @@ def text_terms(text: str | None, kept: dict[str, int] | None = None) -> Counter:
 
 
 def vector(terms: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(term numbers, unit TF-IDF weights, length before), a weight being one plus the log of the frequency, times idf."""
+    """(term numbers, unit weights, length before), a weight being one plus the log of the frequency, times the term's."""
     at = np.array(sorted(terms), np.int64)
     w = (1 + np.log(np.array([terms[t] for t in at.tolist()], float))) * idf[at] if len(at) else np.empty(0)
     norm = np.sqrt((w * w).sum())
     return (at, w / norm, float(norm)) if norm > 0 else (at[:0], w[:0], 0.0)
 
 
+def _ranges(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all places of the ranges one after the other, the ranges' sizes)."""
+    sizes = stop - first
+    ends = np.cumsum(sizes)
+    return np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), sizes
+
+
 class BlockMaxIndex:
     """Postings by term, cut in blocks of examples, with each block's largest weight as its bound."""
 
     def __init__(self, vectors: list[tuple], labels: list[int], ids: list, n_terms: int, block: int = BLOCK):
-        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0].tolist()[:1], i))  # alike examples share blocks
-        self.block = block
+        # examples alike in their heaviest word share blocks
+        order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, i))
+        self.order = order
         self.n = len(order)
         self.labels = np.array([labels[i] for i in order], float)
         self.ids = [ids[i] for i in order]
         self.n_blocks = -(-self.n // block)
-        self.bounds = np.zeros((n_terms, self.n_blocks))
         docs = np.concatenate([np.full(len(vectors[i][0]), p) for p, i in enumerate(order)] or [np.empty(0)]).astype(np.int64)
         terms = np.concatenate([vectors[i][0] for i in order] or [np.empty(0)]).astype(np.int64)
         weights = np.concatenate([vectors[i][1] for i in order] or [np.empty(0)])
-        np.maximum.at(self.bounds, (terms, docs // block), weights)
         by = np.lexsort((docs, terms))
-        self.docs, self.weights = docs[by], weights[by]
-        cells = terms[by] * max(self.n_blocks, 1) + self.docs // block
-        self.starts = np.searchsorted(cells, np.arange(n_terms * max(self.n_blocks, 1) + 1))
+        self.docs, self.weights, terms = docs[by].astype(np.int32), weights[by], terms[by]
+        # A cell is a term's postings in one block; only cells with postings are held.
+        cells = terms * max(self.n_blocks, 1) + self.docs // block
+        first = np.flatnonzero(np.diff(cells, prepend=-1))
+        self.starts = np.append(first, len(cells))
+        self.cell_block = (self.docs[first] // block).astype(np.int32)
+        self.bounds = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
+        self.term_cells = np.searchsorted(terms[first], np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples with cosine above 0, ties to the lower place; exact.
@@ -64,7 +79,9 @@ class BlockMaxIndex:
         places, scores = np.empty(0, np.int64), np.empty(0)
         if not len(terms) or not self.n:
             return places, scores
-        bound = weights @ self.bounds[terms] + 1e-12
+        cells, per_term = _ranges(self.term_cells[terms], self.term_cells[terms + 1])
+        weights = np.repeat(weights, per_term)
+        bound = np.bincount(self.cell_block[cells], weights * self.bounds[cells], minlength=self.n_blocks) + 1e-12
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 1e-12]
         done, step = 0, 4
@@ -74,7 +91,7 @@ class BlockMaxIndex:
                 blocks = blocks[bound[blocks] >= scores[-1]]
                 if not len(blocks):
                     break
-            got = self._accumulate(terms, weights, blocks)
+            got = self._accumulate(cells, weights, blocks)
             if 0 <= skip < self.n:
                 got[skip] = 0
             own = np.flatnonzero(got)
@@ -88,15 +105,13 @@ class BlockMaxIndex:
             done, step = done + step, step * 4
         return places, scores
 
-    def _accumulate(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Dense cosines by place, of these blocks' examples; all postings of the terms in the blocks at once."""
-        cells = (terms[:, None] * self.n_blocks + blocks).ravel()
-        first = self.starts[cells]
-        sizes = self.starts[cells + 1] - first
-        ends = np.cumsum(sizes)
-        at = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])
-        values = np.repeat(np.repeat(weights, len(blocks)), sizes) * self.weights[at]
-        return np.bincount(self.docs[at], values, minlength=self.n)
+    def _accumulate(self, cells: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Dense cosines by place, of these blocks' examples; all postings of the cells in the blocks at once."""
+        chosen = np.zeros(self.n_blocks, bool)
+        chosen[blocks] = True
+        own = chosen[self.cell_block[cells]]
+        at, sizes = _ranges(self.starts[cells[own]], self.starts[cells[own] + 1])
+        return np.bincount(self.docs[at], np.repeat(weights[own], sizes) * self.weights[at], minlength=self.n)
 
 
 def pool_adjacent(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +133,15 @@ def pool_adjacent(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
 
 
 class Model:
-    """Index, idf and calibration; small enough to ship to workers: its size is bounded by the fit's parameters."""
+    """Index, term weights and calibration; its size is bounded by the number of examples and their texts.
+
+    rest is a table (term, weight) of the words that no example has; it stays in storage and isn't shipped.
+    """
 
-    def __init__(self, kept: list[str], idf: np.ndarray, examples: list[tuple[object, int, dict[int, int]]], prior: dict[int, float]):
+    def __init__(self, kept: list[str], idf: np.ndarray, examples: list[tuple[object, int, dict[int, int]]], prior: dict[int, float], rest: DataFrame | None = None, unseen: float = 1.0):
+        self.rest, self.unseen = rest, unseen
         self.kept = {t: i for i, t in enumerate(kept)}
-        self.names, self.idf = kept, idf
+        self.idf = idf
         vectors = [vector(Counter(tf), idf) for _, _, tf in examples]
         labels = [y for _, y, _ in examples]
         n = Counter(labels)
@@ -132,12 +151,14 @@ class Model:
         self.empty_score = float(np.sum([e[1] for e in empty]) / np.sum([e[0] for e in empty])) if empty else 0.0
         full = [i for i, v in enumerate(vectors) if len(v[0])]
         self.index = BlockMaxIndex([vectors[i] for i in full], [labels[i] for i in full], [examples[i][0] for i in full], len(kept))
-        order = sorted(range(len(full)), key=lambda i: (vectors[full[i]][0].tolist()[:1], i))
-        votes = np.array([self.vote(*vectors[full[i]], skip=p)[0] for p, i in enumerate(order)])
+        votes = np.array([self.vote(*vectors[full[i]], skip=p)[0] for p, i in enumerate(self.index.order)])
         y = self.index.labels
         w = np.where(y > 0, weight[1], weight[0])
         self.knots = pool_adjacent(votes, y, w) if len(votes) else (np.array([0.0]), np.array([self.empty_score]))
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "rest"}
+
     def vote(self, terms, weights, length: float, skip: int = -1):
         """(toxic share of the votes, places, cosines).
 
@@ -148,13 +169,19 @@ class Model:
         toxic = float(cosines @ self.index.labels[places])
         return length * toxic / (length * float(cosines.sum()) + PRIOR_VOTE), places, cosines
 
-    def score(self, text: str | None) -> tuple[float, list]:
-        terms, weights, length = vector(text_terms(text, self.kept), self.idf)
+    def score(self, text: str | None) -> tuple[float, float, list, list]:
+        """(score, length over the examples' words, evidence, other words with one plus the log of their frequency).
+
+        Other words add to the text's length only, so the votes, which don't depend on it, need no weight of theirs.
+        """
+        words = text_terms(text)
+        terms, weights, length = vector(Counter({self.kept[w]: n for w, n in words.items() if w in self.kept}), self.idf)
         if not len(terms) or not self.index.n:
-            return self.empty_score, []
+            return self.empty_score, length, [], []
         share, places, cosines = self.vote(terms, weights, length)
         evidence = [{"example_id": self.index.ids[p], "cosine": float(c), "label": int(self.index.labels[p])} for p, c in zip(places.tolist(), cosines)]
-        return float(np.clip(np.interp(share, *self.knots), 0, 1)), evidence
+        others = [{"term": w, "tf": 1 + math.log(n)} for w, n in words.items() if w not in self.kept]
+        return float(np.clip(np.interp(share, *self.knots), 0, 1)), length, evidence, others
 
 
 def held_out(doc_id, modulus: int = 3, fold: int = 1):
@@ -165,9 +192,9 @@ def held_out(doc_id, modulus: int = 3, fold: int = 1):
 def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS) -> Model:
     """A model from the labelled rows of docs for which ``usable`` (a column of docs) holds.
 
-    At most fit_docs examples of each class (least hashes of id and text; equal rows count once) are the index; index terms are those of at least
-    MIN_DF examples with the highest chi-square against the label, MAX_TERMS at most. Those bounds limit what the
-    driver and the workers hold. Document frequencies for idf are counted over all rows of docs, whole texts. A
+    At most fit_docs examples of each class (least hashes of id and text; equal rows count once) are the index, with
+    all words of their whole texts; the number of examples is the only bound. Document frequencies for idf are
+    counted over all rows of docs, whole texts and all words; those that no example has stay in a table. A
     document with several labels has the highest. Rows without an id, a label of 0 or 1 or a text teach nothing.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
@@ -191,19 +218,29 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = (float(sizes.get(y, 0)) for y in (0, 1))
     counted = sample.select("text", "y").mapInPandas(count, "term string, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    a, b, total = F.col("toxic"), F.col("clean"), F.lit(n0 + n1)
-    chi2 = F.try_divide(total * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)), F.lit(n0 * n1) * (a + b) * (total - a - b))
-    best = counted.where((a + b >= MIN_DF) & (chi2 >= MIN_CHI2)).select("term").orderBy(F.desc(chi2), "term").limit(MAX_TERMS)
-    kept = sorted(r["term"] for r in best.collect())
+    words = counted.toArrow().sort_by("term")
+    kept = words["term"].to_pylist()
+    b, a = (words[c].to_numpy().astype(float) for c in ("clean", "toxic"))
+    total, seen = n0 + n1, a + b
+    spread = n0 * n1 * seen * (total - seen)
+    chi2 = np.divide(total * (a * (n0 - b) - b * (n1 - a)) ** 2, spread, out=np.zeros(len(kept)), where=spread > 0)
     number = {t: i for i, t in enumerate(kept)}
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = Counter(), 0
         for pdf in batches:
             n += len(pdf)
+            other = Counter()
             for t in pdf["text"]:
-                df.update(text_terms(t, number).keys())
-        yield pd.DataFrame({"term": [-1, *df.keys()], "df": [n, *df.values()]})
+                for w in text_terms(t):
+                    at = number.get(w)
+                    if at is None:
+                        other[w] += 1
+                    else:
+                        df[at] += 1
+            if other:
+                yield pd.DataFrame({"place": -2, "term": list(other.keys()), "df": list(other.values())})
+        yield pd.DataFrame({"place": [-1, *df.keys()], "term": None, "df": [n, *df.values()]})
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -212,27 +249,38 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
 
     df = np.zeros(len(kept))
     n_docs = 0
-    everywhere = docs.select(F.col(text_col).alias("text")).mapInPandas(frequencies, "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
-    for r in everywhere.collect():
-        if r["term"] < 0:
+    everywhere = docs.select(F.col(text_col).alias("text")).mapInPandas(frequencies, "place int, term string, df bigint").groupBy("place", "term").agg(F.sum("df").alias("df"))
+    everywhere = materialize(everywhere, "toxicity-df")
+    for r in everywhere.where("place >= -1").collect():
+        if r["place"] < 0:
             n_docs = r["df"]
         else:
-            df[r["term"]] = r["df"]
+            df[r["place"]] = r["df"]
+    rest = everywhere.where("place = -2").select("term", (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("weight"))
     rows = sample.select("id", "y", "text").mapInPandas(examples, "id bigint, y int, terms array<int>, n array<bigint>").orderBy("id").collect()
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    return Model(kept, idf, [(r["id"], r["y"], dict(zip(r["terms"], r["n"]))) for r in rows], prior)
+    examples_tf = [(r["id"], r["y"], dict(zip(r["terms"], r["n"]))) for r in rows]
+    return Model(kept, idf * (1 + np.sqrt(chi2)), examples_tf, prior, rest, math.log(1 + n_docs) + 1)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc_id, score, predicted, evidence) for every row, whole texts; evidence lists the neighbours by cosine.
 
-    A text without index terms, an empty or null one too, scores as the labelled examples without them do.
+    A text without a word of the examples, an empty or null one too, scores as the labelled examples without words
+    do. Cosines are of whole texts: words that no example has meet their weights in storage and lengthen the text.
     """
 
-    @F.pandas_udf("score double, evidence array<struct<example_id: bigint, cosine: double, label: int>>")
+    @F.pandas_udf("score double, length double, evidence array<struct<example_id: bigint, cosine: double, label: int>>, others array<struct<term: string, tf: double>>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        got = [model.score(t) for t in texts]
-        return pd.DataFrame({"score": [s for s, _ in got], "evidence": [e for _, e in got]})
-
-    found = docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("t"))
-    return found.select("doc_id", F.col("t.score").alias("score"), (F.col("t.score") >= threshold).cast("int").alias("predicted"), F.col("t.evidence").alias("evidence"))
+        return pd.DataFrame([model.score(t) for t in texts], columns=["score", "length", "evidence", "others"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("uid"), run(F.col(text_col)).alias("t"))
+    found = materialize(rows.select("doc_id", "uid", "t.*"), "toxicity-scored")
+    others = found.select("uid", F.explode("others").alias("o")).select("uid", "o.term", "o.tf")
+    weight = F.coalesce("weight", F.lit(model.unseen)) if model.rest is not None else F.lit(model.unseen)
+    met = others if model.rest is None else others.join(model.rest, "term", "left")
+    lengths = met.groupBy("uid").agg(F.sum(F.pow(F.col("tf") * weight, F.lit(2.0))).alias("more"))
+    share = F.col("length") / F.sqrt(F.col("length") * F.col("length") + F.coalesce("more", F.lit(0.0)))
+    whole = F.transform("evidence", lambda e: F.struct(e["example_id"].alias("example_id"), (e["cosine"] * share).alias("cosine"), e["label"].alias("label")))
+    out = found.join(lengths, "uid", "left")
+    return out.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), whole.alias("evidence"))

@@ -134,6 +134,30 @@ def test_toxicity(spark, odd, none):
     assert {r["score"] for r in toxicity.score(odd, bare).collect()} == {0.0}
 
 
+def test_toxicity_uses_every_word(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join([f"w{'abcdefghijklmnopqrst'[k]}" for k in rng.integers(0, 20, 12)] + (["vile"] if i % 4 == 0 else []) + ["own" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10]])) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    y = {i: int(i % 4 == 0) for i in range(40)}
+    model = toxicity.fit(docs, spark.createDataFrame(list(y.items()), "doc_id long, toxic int"), F.lit(True))
+    tf = {i: Counter(t.split()) for i, t in rows}
+    assert set(model.kept) == {w for i in y for w in tf[i]}
+
+    def weight(w):
+        df = sum(w in x for x in tf.values())
+        a, b, n1 = sum(w in tf[i] for i in y if y[i]), sum(w in tf[i] for i in y if not y[i]), sum(y.values())
+        below = n1 * (40 - n1) * (a + b) * (40 - a - b)
+        return (math.log(61 / (1 + df)) + 1) * (1 + math.sqrt(40 * (a * (40 - n1 - b) - b * (n1 - a)) ** 2 / below if below else 0))
+
+    vec = {i: {w: (1 + math.log(n)) * weight(w) for w, n in x.items()} for i, x in tf.items()}
+    size = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vec.items()}
+    for r in toxicity.score(docs, model).collect():
+        q = r["doc_id"]
+        want = sorted((sum(x * vec[i].get(w, 0) for w, x in vec[q].items()) / size[q] / size[i] for i in y), reverse=True)[:15]
+        assert [e["cosine"] for e in r["evidence"]] == pytest.approx([c for c in want if c > 0])
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(0)
     vectors = []
