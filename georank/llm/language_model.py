@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from georank.llm.common import WORD
 
-BACKOFF = 0.4
+#: Production parameters: weight of a backoff step, words of the longest n-grams.
+BACKOFF, ORDER = 0.4, 3
 #: Rows of a block of documents, and n-grams of a partition of the count table: bounds of one task's arrays.
 BLOCK_BITS, BUCKET_GRAMS = 10, 2_000_000
 #: Bits of an n-gram's hash that travel; its bucket has the others.
@@ -22,9 +23,9 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 
 
 class Block:
-    """The words of a block of texts as hashes, and its n-grams of order 1 and 2."""
+    """The words of a block of texts as hashes, and its n-grams of 1 to ``order`` words."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], order: int = 2):
         seen: dict[bytes, int] = {}
         ids: list[int] = []
         ends = []
@@ -34,16 +35,24 @@ class Block:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in seen), np.uint64, len(seen))
         self.doc = np.repeat(np.arange(len(texts)), np.diff([0, *ends]))
         self.one = hashes[np.array(ids, np.int64)] if ids else np.empty(0, np.uint64)
-        follows = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1 if len(ids) else np.empty(0, np.int64)
-        self.follows = follows  # tokens that have a predecessor in their document
-        with np.errstate(over="ignore"):
-            mixed = (self.one[follows - 1] * _MIX[0]) ^ self.one[follows]
-            mixed = (mixed ^ (mixed >> _MIX[2])) * _MIX[1]
-            self.two = mixed ^ (mixed >> _MIX[2])
+        self.ends = [np.arange(len(ids))]  # by length, the last words of the n-grams; none spans two documents
+        self.hashes = [self.one]
+        at = self.one
+        for n in range(1, order):
+            ends = np.arange(n, len(ids))
+            ends = ends[self.doc[ends] == self.doc[ends - n]]
+            longer = np.zeros(len(ids), np.uint64)
+            with np.errstate(over="ignore"):
+                mixed = (at[ends - 1] * _MIX[0]) ^ self.one[ends]
+                mixed = (mixed ^ (mixed >> _MIX[2])) * _MIX[1]
+                longer[ends] = mixed ^ (mixed >> _MIX[2])
+            at = longer
+            self.ends.append(ends)
+            self.hashes.append(at[ends])
 
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct hashes in order, place of each n-gram among them, counts): words first, then pairs."""
-        every = np.concatenate([self.one, self.two])
+        """(distinct hashes in order, place of each n-gram among them, counts): words first, then ever longer ones."""
+        every = np.concatenate(self.hashes)
         return np.unique(every, return_inverse=True, return_counts=True)
 
 
@@ -66,29 +75,30 @@ def _per_document(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
 def backoff_scores(block: Block, place: np.ndarray, totals: np.ndarray, n_words: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, mean log score) by document, each against the corpus without that document itself."""
     n_one = len(block.one)
-    ones, twos = place[:n_one], place[n_one:]
     tokens = np.bincount(block.doc, minlength=n_docs)
     rest = (n_words - tokens)[block.doc].astype(float)
-    one = totals[ones] - _per_document(block.doc, ones)
+    places = np.split(place, np.cumsum([len(e) for e in block.ends])[:-1])
+    context = totals[places[0]] - _per_document(block.doc, places[0])
     # an unseen word counts as one half of an occurrence, so that scores are finite
-    score = np.log(BACKOFF) + np.log(np.maximum(one, 0.5)) - np.log(np.maximum(rest, 1.0))
-    f = block.follows
-    starts = np.ones(n_one, bool)
-    starts[f] = False
-    score[starts] -= np.log(BACKOFF)  # a first word has no context to back off from
-    two = totals[twos] - _per_document(block.doc[f], twos)
-    context = one[f - 1]
-    seen = (two > 0) & (context > 0)
-    score[f[seen]] = np.log(two[seen] / context[seen])
+    score = np.log(np.maximum(context, 0.5)) - np.log(np.maximum(rest, 1.0))
+    for ends, at in zip(block.ends[1:], places[1:]):  # words with a shorter context keep the score of that
+        here = totals[at] - _per_document(block.doc[ends], at)
+        before = context[ends - 1]
+        seen = (here > 0) & (before > 0)
+        score[ends] += np.log(BACKOFF)
+        score[ends[seen]] = np.log(here[seen] / before[seen])
+        context = np.zeros(n_one, totals.dtype)
+        context[ends] = here
     return tokens, np.bincount(block.doc, score, n_docs) / np.maximum(tokens, 1)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
     """Rows (doc_id, n_tokens, log_score) for every row of docs, a table in storage: mean log stupid-backoff score.
 
-    Words are lower-cased (A-Z) and end at white space; order 2; whole texts; all n-grams of all rows are counted,
-    none is pruned. A document is scored by the counts of the rest of the corpus: count of the pair over count of
-    its first word where both are there, else BACKOFF times the word's share. Null, empty and word-free texts give
+    Words are lower-cased (A-Z) and end at white space; whole texts; all n-grams of 1 to ``order`` words of all rows are
+    counted, none is pruned. A document is scored by the counts of the rest of the corpus: count of the longest n-gram
+    over count of all its words but the last where both are there, else BACKOFF times the score with one word of
+    context less; a word without context scores its share. Null, empty and word-free texts give
     0 tokens and a null score; rows that repeat an id are documents of their own.
 
     The count table is partitioned by hash. A block of 1024 rows sends each partition its distinct n-grams with
@@ -98,7 +108,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("blk", F.shiftright("uid", BLOCK_BITS))
     n_words = rows.agg(F.sum(F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD))))).first()[0]
-    bits = max(0, int(np.ceil(np.log2(max(1, 2 * (n_words or 0) / BUCKET_GRAMS)))))
+    bits = max(0, int(np.ceil(np.log2(max(1, order * (n_words or 0) / BUCKET_GRAMS)))))
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
         held: list[pd.DataFrame] = []
@@ -115,7 +125,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for blk, pdf in blocks(batches):
-            block = Block(pdf["text"].tolist())
+            block = Block(pdf["text"].tolist(), order)
             hashes, _, counts = block.grams()
             bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
             keys, first = np.unique(bucket, return_index=True)
@@ -139,7 +149,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def finish(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uid")
-        block = Block(pdf["text"].tolist())
+        block = Block(pdf["text"].tolist(), order)
         _, place, _ = block.grams()
         totals = np.concatenate([np.frombuffer(x, "<u8") for x in got.sort_values("bucket")["totals"]] or [np.empty(0, "<u8")]).astype(np.int64)
         tokens, scores = backoff_scores(block, place, totals, everything, len(pdf))

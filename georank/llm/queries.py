@@ -58,7 +58,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score(_read(spark, sf_dir, "documents"))
+    return language_model.score(_read(spark, sf_dir, "documents"), order=language_model.ORDER)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

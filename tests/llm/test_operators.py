@@ -377,6 +377,32 @@ def test_language_model_by_brute_force(spark, odd, none, monkeypatch):
     assert language_model.score(none).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_language_model_of_any_order(spark, odd, monkeypatch, order):
+    monkeypatch.setattr(language_model, "BLOCK_BITS", 1)
+    rng = np.random.default_rng(4)
+    short = spark.createDataFrame([(100 + i, " ".join("abc"[k] for k in rng.integers(0, 3, i))) for i in range(12)], "doc_id long, text string")
+    texts = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in odd.select("doc_id", "text").union(short).collect()]
+    grams = lambda w: Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    every = sum((grams(w) for _, w in texts), Counter())
+    n_words = sum(len(w) for _, w in texts)
+    want = []
+    for d, w in texts:
+        own, s = grams(w), 0.0
+
+        def plain(g, own=own, w=w):
+            if len(g) == 1:
+                return math.log(max(every[g] - own[g], 0.5) / max(n_words - len(w), 1))
+            here, before = every[g] - own[g], every[g[:-1]] - own[g[:-1]]
+            return math.log(here / before) if here > 0 and before > 0 else math.log(0.4) + plain(g[1:])
+
+        s = sum(plain(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w)))
+        want.append((d, len(w), round(s / len(w), 6) if w else None))
+    got = language_model.score(odd.select("doc_id", "text").union(short), order=order).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"], None if r["log_score"] is None else round(r["log_score"], 6)) for r in got), key=repr) == sorted(want, key=repr)
+    assert language_model.ORDER >= 3
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
