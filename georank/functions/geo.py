@@ -75,6 +75,30 @@ def in_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     return crossings % 2 == 1
 
 
+def edges_around(x: Column, y: Column, edges: Column) -> Column:
+    """Even-odd ray cast against edges (x1, y1, x2, y2) of any number of rings, so holes are outside."""
+    cut = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x1"] + F.try_divide((y - e["y1"]) * (e["x2"] - e["x1"]), e["y2"] - e["y1"]))
+    return F.size(F.filter(edges, cut)) % 2 == 1
+
+
+def edges_meet_box(west: Column, south: Column, east: Column, north: Column, edges: Column) -> Column:
+    """Whether rings touch or hold a box: an edge meets it, or a corner of it lies inside."""
+
+    def meets(e: Column) -> Column:
+        side = lambda x, y: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+        corners = [side(x, y) for x in (west, east) for y in (south, north)]
+        near = (F.least(e["x1"], e["x2"]) <= east) & (F.greatest(e["x1"], e["x2"]) >= west) & (F.least(e["y1"], e["y2"]) <= north) & (F.greatest(e["y1"], e["y2"]) >= south)
+        return near & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
+
+    return F.exists(edges, meets) | edges_around(west, south, edges)
+
+
+def in_zone(lat: Column, lon: Column, zones) -> Column:
+    """in_bbox, and inside the zone's polygon where it has edges."""
+    box = in_bbox(lat, lon, zones)
+    return box & (zones["edges"].isNull() | edges_around(lon, lat, zones["edges"])) if "edges" in zones.columns else box
+
+
 def ring_area(xs: Column, ys: Column) -> Column:
     """Area of a ring given as two arrays, by the shoelace sum."""
     n = F.size(xs)

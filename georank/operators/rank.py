@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from georank.functions import scoring
-from georank.functions.geo import in_bbox
+from georank.functions.geo import in_zone
 from georank.settings import Settings
 
 MODES = ("public", "restricted", "authorized")
@@ -40,14 +40,14 @@ def score(df: DataFrame, settings: Settings | None = None) -> DataFrame:
 
 
 def drop_withheld(df: DataFrame, mode: str, zones: DataFrame | None, settings: Settings) -> DataFrame:
-    """df without the rows that the guardrails keep back; zones is a table of boxes, matched by an anti join."""
+    """df without the rows that the guardrails keep back; zones is a table of boxes or polygons, matched by an anti join."""
     kept = df.where(~withhold(mode, F.lit(False), settings))
     blocked = settings.guardrails.block_in_red_zones and (
         settings.guardrails.red_zone_access == "block" or settings.guardrails.red_zone_access == "authorized-only" and mode != "authorized"
     )
     if zones is None or not blocked:
         return kept
-    return kept.join(zones, in_bbox(kept["lat"], kept["lon"], zones), "left_anti")
+    return kept.join(zones, in_zone(kept["lat"], kept["lon"], zones), "left_anti")
 
 
 def rank(df: DataFrame, mode: str = "public", zones: DataFrame | None = None, settings: Settings | None = None, redaction: str = "shift") -> DataFrame:

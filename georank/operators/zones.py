@@ -1,19 +1,19 @@
-"""Red zones: semi, anti and collecting joins by containment or overlap of boxes."""
+"""Red zones: semi, anti and collecting joins by containment or overlap; boxes first, then the polygon where a zone has edges."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from georank.functions.geo import in_bbox
+from georank.functions.geo import edges_meet_box, in_zone
 
 
 def inside_any(df: DataFrame, zones: DataFrame) -> DataFrame:
-    return df.join(zones, in_bbox(df["lat"], df["lon"], zones), "left_semi")
+    return df.join(zones, in_zone(df["lat"], df["lon"], zones), "left_semi")
 
 
 def outside_all(df: DataFrame, zones: DataFrame) -> DataFrame:
-    return df.join(zones, in_bbox(df["lat"], df["lon"], zones), "left_anti")
+    return df.join(zones, in_zone(df["lat"], df["lon"], zones), "left_anti")
 
 
 def with_cells(zones: DataFrame, cell: float) -> DataFrame:
@@ -32,9 +32,12 @@ def tag(df: DataFrame, zones: DataFrame, half: float = 0.0, cell: float = 0.05)
         F.explode(F.sequence(F.floor((F.col("lat") - half) / cell), F.floor((F.col("lat") + half) / cell))).alias("cell_y"),
     ).withColumn("cell_x", F.explode(F.sequence(F.floor((F.col("lon") - half) / cell), F.floor((F.col("lon") + half) / cell))))
     z = with_cells(zones, cell)
+    lat, lon = F.col("lat"), F.col("lon")
+    shaped = F.col("edges").isNull() | edges_meet_box(lon - half, lat - half, lon + half, lat + half, F.col("edges")) if "edges" in zones.columns else F.lit(True)
     hit = (
         boxes.join(z, ["cell_x", "cell_y"])
         .where((F.col("lat") + half >= F.col("min_lat")) & (F.col("lat") - half <= F.col("max_lat")) & (F.col("lon") + half >= F.col("min_lon")) & (F.col("lon") - half <= F.col("max_lon")))
+        .where(shaped)
         .select("seq", F.struct("zone_ord", "name").alias("z")).distinct()
     )
     names = hit.groupBy("seq").agg(F.transform(F.array_sort(F.collect_list("z")), lambda x: x["name"]).alias("zone_names"))

@@ -26,7 +26,7 @@ def read_candidates(spark: SparkSession, path: str, strict: bool = False) -> Dat
 
 
 def read_zones(spark: SparkSession, path: str) -> DataFrame:
-    """Zones (zone_ord, name, category, bounds, geometry as JSON) of a GeoJSON feature collection; features without geometry are left out.
+    """Zones (zone_ord, name, category, bounds, geometry as JSON, edges of polygons) of a GeoJSON feature collection; features without geometry are left out.
 
     Names are taken over all features, so numbers of unnamed ones don't depend on what is left out.
     """
@@ -35,9 +35,17 @@ def read_zones(spark: SparkSession, path: str) -> DataFrame:
     numbers = F.transform(F.regexp_extract_all("f.geometry.coordinates", F.lit(r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
     flat = features.where("f.geometry is not null").withColumn("n", numbers)
     lons, lats = F.filter("n", lambda x, i: i % 2 == 0), F.filter("n", lambda x, i: i % 2 == 1)
+    # Rings of a polygon or of several; other types have no edges and stand for their box.
+    kind = F.col("f.geometry.type")
+    rings = F.when(kind == "Polygon", F.from_json("f.geometry.coordinates", "array<array<array<double>>>")).when(
+        kind == "MultiPolygon", F.flatten(F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>"))
+    )
+    edge = lambda a, b: F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
+    following = lambda r: F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1))
+    edges = F.flatten(F.transform(rings, lambda r: F.zip_with(r, following(r), edge)))
     return flat.select(
         "zone_ord", zone_name(F.coalesce("f.properties.name", "f.properties.title"), F.col("zone_ord")).alias("name"), F.coalesce("f.properties.category", "f.properties.kind").alias("category"),
-        F.array_min(lats).alias("min_lat"), F.array_max(lats).alias("max_lat"), F.array_min(lons).alias("min_lon"), F.array_max(lons).alias("max_lon"), F.col("f.geometry.coordinates").alias("coordinates"),
+        F.array_min(lats).alias("min_lat"), F.array_max(lats).alias("max_lat"), F.array_min(lons).alias("min_lon"), F.array_max(lons).alias("max_lon"), F.col("f.geometry.coordinates").alias("coordinates"), edges.alias("edges"),
     )
 
 

@@ -9,9 +9,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from georank.operators import cluster, kernels, rank, tiles
+from georank.operators import cluster, kernels, rank, tiles, zones
 from georank.plans.queries import QUERIES, SQL
-from georank.settings import load_settings
+from georank.settings import Settings, load_settings
 from georank.sinks.writers import features, write_bundle
 from georank.sources.readers import demo_zones, read_candidates, read_zones
 
@@ -63,6 +63,24 @@ def test_zones_keep_numbers_of_all_features(spark, tmp_path):
     assert [r["name"] for r in got] == ["red-zone-2", "a"] and got[0]["max_lat"] == 47.5
 
 
+def test_polygon_zones(spark, tmp_path):
+    triangle = [[90, 47], [91, 47], [90, 48], [90, 47]]
+    frame = [[[92, 47], [93, 47], [93, 48], [92, 48], [92, 47]], [[92.25, 47.25], [92.75, 47.25], [92.75, 47.75], [92.25, 47.75], [92.25, 47.25]]]
+    far = [[[94, 47], [94.5, 47], [94.5, 47.5], [94, 47]]]
+    kinds = [("Polygon", [triangle]), ("MultiPolygon", [frame, far])]
+    p = tmp_path / "polygons.geojson"
+    p.write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": k, "coordinates": c}, "properties": {"name": k}} for k, c in kinds]}))
+    got = read_zones(spark, str(p))
+    points = [(0, 47.2, 90.2), (1, 47.8, 90.8), (2, 47.1, 92.1), (3, 47.5, 92.5), (4, 47.1, 94.4), (5, 47.4, 94.1), (6, 47.51, 90.5), (7, 47.5, 92.745)]
+    df = spark.createDataFrame([(*x, "steppe", "normal") for x in points], "seq long, lat double, lon double, landscape string, sensitivity string")
+    inside = {0, 2, 4}
+    assert {r["seq"] for r in zones.inside_any(df, got).collect()} == inside
+    assert {r["seq"] for r in zones.outside_all(df, got).collect()} == set(range(8)) - inside
+    assert {r["seq"] for r in rank.drop_withheld(df, "public", got, Settings()).collect()} == set(range(8)) - inside
+    tagged = {r["seq"]: r["zone_names"] for r in zones.tag(df, got, half=0.01).collect()}
+    assert {k for k, v in tagged.items() if v} == inside | {6, 7} and tagged[7] == ["MultiPolygon"]
+
+
 def test_settings(tmp_path):
     p = tmp_path / "s.toml"
     p.write_text("[analysis]\nmax_candidates = 7\n")
