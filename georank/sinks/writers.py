@@ -49,13 +49,20 @@ def summary(mode: str, total_tiles: int, processed_tiles: int, ranked: DataFrame
     )
 
 
-def write_bundle(folder: str, mode: str, ranked: DataFrame, clusters: DataFrame, total_tiles: int, processed_tiles: int, max_rows: int = 500) -> dict[str, str]:
-    """Ranked and cluster JSON, GeoJSON, summary, report and map in a local folder; at most max_rows ranked rows reach the driver."""
+def write_bundle(folder: str, mode: str, ranked: DataFrame, clusters: DataFrame, total_tiles: int, processed_tiles: int, max_rows: int | None = None) -> dict[str, str]:
+    """Ranked and cluster JSON, GeoJSON, summary, report and map in a local folder.
+
+    All rows that the caller passes are written, by the driver; max_rows, where given, bounds ranked rows and clusters.
+    """
+    best = ranked.orderBy(F.desc("adjusted_score"), "seq")
+    groups = clusters.orderBy(F.desc("cluster_score"), "first_seq")
+    if max_rows is not None:
+        best, groups = best.limit(max_rows), groups.limit(max_rows)
     out = Path(folder)
     out.mkdir(parents=True, exist_ok=True)
-    rows = [json.loads(r["value"]) for r in to_json_rows(ranked.orderBy(F.desc("adjusted_score"), "seq").limit(max_rows).drop("seq")).collect()]
-    groups = [json.loads(r["value"]) for r in to_json_rows(clusters.orderBy(F.desc("cluster_score"), "first_seq").limit(max_rows).drop("first_seq", "component")).collect()]
-    shapes = [json.loads(r["feature"]) for r in features(ranked.orderBy(F.desc("adjusted_score"), "seq").limit(max_rows)).collect()]
+    rows = [json.loads(r["value"]) for r in to_json_rows(best.drop("seq")).collect()]
+    groups = [json.loads(r["value"]) for r in to_json_rows(groups.drop("first_seq", "component")).collect()]
+    shapes = [json.loads(r["feature"]) for r in features(best).collect()]
     counts = json.loads(to_json_rows(summary(mode, total_tiles, processed_tiles, ranked, clusters)).first()["value"])
     report = ["# Analysis report", "", f"- Permit mode: `{mode}`", f"- Tiles processed: `{processed_tiles}` / `{total_tiles}`", f"- Ranked candidates: `{counts['ranked_candidates']}`", f"- Clusters: `{counts['clusters']}`", "", "## Top clusters", ""]
     for g in groups[:10]:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from georank.operators import cluster, kernels, rank, tiles, zones
 from georank.plans.queries import QUERIES, SQL
@@ -54,6 +55,16 @@ def test_bundle_and_geojson(sample, tmp_path):
     assert features(ranked).count() == 2
 
 
+def test_bundle_writes_all_rows(spark, sample, tmp_path):
+    many = spark.range(600).withColumnRenamed("id", "copy")
+    ranked = rank.rank(sample).crossJoin(many).withColumn("seq", F.col("copy")).drop("copy")
+    clusters = spark.createDataFrame([(f"c{i}", 0.5, i, i, 1, "low", ["r"]) for i in range(600)], "cluster_id string, cluster_score double, first_seq long, component long, member_count int, confidence string, reasons array<string>")
+    files = write_bundle(str(tmp_path), "public", ranked, clusters, 3, 2)
+    n = ranked.count()
+    assert n > 500 and json.loads(open(files["summary.json"]).read())["ranked_candidates"] == n
+    assert len(json.load(open(files["ranked.json"]))) == n == len(json.load(open(files["ranked.geojson"]))["features"]) and len(json.load(open(files["clusters.json"]))) == 600
+
+
 def test_zones_keep_numbers_of_all_features(spark, tmp_path):
     box = {"type": "Polygon", "coordinates": [[[90, 47], [90.5, 47], [90.5, 47.5], [90, 47]]]}
     fc = {"type": "FeatureCollection", "features": [{"geometry": None, "properties": {}}, {"geometry": box, "properties": {}}, {"geometry": box, "properties": {"name": " a "}}]}
