@@ -37,8 +37,8 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines has rid, seq (place among the document's lines with words), id, h1, h2 (128 bits of the line) and words.
     Round j ranks the runs of 2^j lines: the pair of ranks of a run's halves is sorted over all runs that still have
     a twin, so equal ranks are one interval of the suffix array whose common prefix is at least 2^j lines; suffixes
-    whose run is unique leave. Every maximal repeated run is the union of such runs that lie in it. Rounds end when
-    no run has a twin, after the logarithm of the longest repeated run.
+    whose run is unique leave. Without the minimum every maximal repeated run is the union of such runs that lie in it;
+    with it, parts of a maximal run that have too few words are kept. Rounds end when no run has a twin, after the logarithm of the longest repeated run.
     """
     now = _ranked(lines, ["h1", "h2"], "lines-1")
     marks = now.select("rid", "seq", F.when(F.col("later") & (F.col("words") >= min_words), 1).otherwise(0).alias("reach"))
@@ -61,7 +61,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A run of 1, 2, 4, ... lines with min_words words or more, over all of its lines, that occurs more than once
     stays at its first place (by id, null last, then row and line) and is deleted elsewhere, within one document
-    too; longer runs are unions of these. Lines are parted by line feeds and compared exactly; lines without a word
+    too; of longer runs go the parts that such runs cover. Lines are parted by line feeds and compared exactly; lines without a word
     are neither compared nor deleted. A row whose text lost lines and has no word left goes; with ``details`` it
     stays, and n_lines and n_deleted are added. Null and empty texts stay as they are, rows that repeat an id are
     documents of their own, and the first copy of a line always stays.
