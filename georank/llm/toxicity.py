@@ -20,23 +20,22 @@ from georank.llm.common import least_hashes, materialize
 
 #: Production parameters: examples of each class, neighbours, examples of an index block, decision threshold.
 FIT_DOCS, K, BLOCK, THRESHOLD = 3000, 15, 64, 0.7
-PRIOR_VOTE = 50.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def text_terms(text: str | None, kept: dict[str, int] | None = None) -> Counter:
-    """Frequencies of a whole text's lower-cased words; with kept, of the words in it only, by their number."""
-    words = Counter(_WORD.findall((text or "").lower()))
-    return words if kept is None else Counter({kept[w]: n for w, n in words.items() if w in kept})
+def text_terms(text: str | None) -> Counter:
+    """Frequencies of a whole text's lower-cased words."""
+    return Counter(_WORD.findall((text or "").lower()))
 
 
-def vector(terms: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(term numbers, unit weights, length before), a weight being one plus the log of the frequency, times the term's."""
-    at = np.array(sorted(terms), np.int64)
-    w = (1 + np.log(np.array([terms[t] for t in at.tolist()], float))) * idf[at] if len(at) else np.empty(0)
-    norm = np.sqrt((w * w).sum())
-    return (at, w / norm, float(norm)) if norm > 0 else (at[:0], w[:0], 0.0)
+def vector(at: np.ndarray, n: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(term numbers in order, unit weights, length before), a weight being one plus the log of the frequency, times the term's."""
+    order = np.argsort(at)
+    at = at[order]
+    w = (1 + np.log(n[order])) * weight[at]
+    norm = float(np.sqrt((w * w).sum()))
+    return (at, w / norm, norm) if norm > 0 else (at[:0], w[:0], 0.0)
 
 
 def _ranges(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,53 +134,52 @@ def pool_adjacent(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
 class Model:
     """Index, term weights and calibration; its size is bounded by the number of examples and their texts.
 
-    rest is a table (term, weight) of the words that no example has; it stays in storage and isn't shipped.
+    examples are (id, label, term numbers, frequencies). rest is a table (term, weight) of the words that no example
+    has; it stays in storage and isn't shipped.
     """
 
-    def __init__(self, kept: list[str], idf: np.ndarray, examples: list[tuple[object, int, dict[int, int]]], prior: dict[int, float], rest: DataFrame | None = None, unseen: float = 1.0):
-        self.rest, self.unseen = rest, unseen
+    def __init__(self, kept: list[str], weight: np.ndarray, examples: list[tuple[object, int, np.ndarray, np.ndarray]], prior: dict[int, float], rest: DataFrame | None = None, unseen: float = 1.0, id_type: str = "bigint"):
+        self.rest, self.unseen, self.id_type = rest, unseen, id_type
         self.kept = {t: i for i, t in enumerate(kept)}
-        self.idf = idf
-        vectors = [vector(Counter(tf), idf) for _, _, tf in examples]
-        labels = [y for _, y, _ in examples]
+        self.weight = weight
+        vectors = [vector(at, n, weight) for _, _, at, n in examples]
+        labels = [y for _, y, *_ in examples]
         n = Counter(labels)
-        weight = {y: prior.get(y, 0.0) / max(n[y], 1) for y in (0, 1)}  # of an example, so that classes weigh as labelled
-        self.class_weight = weight
-        empty = [weight[y] * np.array([1, y]) for y, v in zip(labels, vectors) if not len(v[0])]
+        share = {y: prior.get(y, 0.0) / max(n[y], 1) for y in (0, 1)}  # of an example, so that classes weigh as labelled
+        empty = [share[y] * np.array([1, y]) for y, v in zip(labels, vectors) if not len(v[0])]
         self.empty_score = float(np.sum([e[1] for e in empty]) / np.sum([e[0] for e in empty])) if empty else 0.0
         full = [i for i, v in enumerate(vectors) if len(v[0])]
         self.index = BlockMaxIndex([vectors[i] for i in full], [labels[i] for i in full], [examples[i][0] for i in full], len(kept))
-        votes = np.array([self.vote(*vectors[full[i]], skip=p)[0] for p, i in enumerate(self.index.order)])
-        y = self.index.labels
-        w = np.where(y > 0, weight[1], weight[0])
-        self.knots = pool_adjacent(votes, y, w) if len(votes) else (np.array([0.0]), np.array([self.empty_score]))
+        self.example_weight = np.where(self.index.labels > 0, share[1], share[0])
+        votes = np.array([self.vote(*vectors[full[i]][:2], skip=p)[0] for p, i in enumerate(self.index.order)])
+        self.knots = pool_adjacent(votes, self.index.labels, self.example_weight) if len(votes) else (np.array([0.0]), np.array([self.empty_score]))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "rest"}
 
-    def vote(self, terms, weights, length: float, skip: int = -1):
-        """(toxic share of the votes, places, cosines).
-
-        A neighbour votes with its cosine times the query's length; a fixed vote of PRIOR_VOTE stands for not toxic,
-        so a text with a single weak term doesn't reach the share of one with many.
-        """
+    def vote(self, terms, weights, skip: int = -1):
+        """(toxic share of the neighbours' votes, places, cosines); a neighbour votes with its cosine times its class's weight."""
         places, cosines = self.index.nearest(terms, weights, skip=skip)
-        toxic = float(cosines @ self.index.labels[places])
-        return length * toxic / (length * float(cosines.sum()) + PRIOR_VOTE), places, cosines
+        votes = cosines * self.example_weight[places]
+        total = float(votes.sum())
+        return float(votes @ self.index.labels[places]) / total if total > 0 else 0.0, places, cosines
 
-    def score(self, text: str | None) -> tuple[float, float, list, list]:
-        """(score, length over the examples' words, evidence, other words with one plus the log of their frequency).
+    def score(self, text: str | None) -> tuple[float, float, list, list, list]:
+        """(score, length over the examples' words, evidence, other words, one plus the log of their frequency).
 
         Other words add to the text's length only, so the votes, which don't depend on it, need no weight of theirs.
         """
         words = text_terms(text)
-        terms, weights, length = vector(Counter({self.kept[w]: n for w, n in words.items() if w in self.kept}), self.idf)
+        number = [self.kept.get(w, -1) for w in words]
+        at, n = np.array(number, np.int64), np.array(list(words.values()), float)
+        known = at >= 0
+        terms, weights, length = vector(at[known], n[known], self.weight)
         if not len(terms) or not self.index.n:
-            return self.empty_score, length, [], []
-        share, places, cosines = self.vote(terms, weights, length)
-        evidence = [{"example_id": self.index.ids[p], "cosine": float(c), "label": int(self.index.labels[p])} for p, c in zip(places.tolist(), cosines)]
-        others = [{"term": w, "tf": 1 + math.log(n)} for w, n in words.items() if w not in self.kept]
-        return float(np.clip(np.interp(share, *self.knots), 0, 1)), length, evidence, others
+            return self.empty_score, length, [], [], []
+        share, places, cosines = self.vote(terms, weights)
+        evidence = [{"example_id": self.index.ids[p], "cosine": c, "label": int(self.index.labels[p])} for p, c in zip(places.tolist(), cosines.tolist())]
+        others = [w for w, i in zip(words, number) if i < 0]
+        return float(np.clip(np.interp(share, *self.knots), 0, 1)), length, evidence, others, (1 + np.log(n[~known])).tolist()
 
 
 def held_out(doc_id, modulus: int = 3, fold: int = 1):
@@ -189,6 +187,13 @@ def held_out(doc_id, modulus: int = 3, fold: int = 1):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == fold
 
 
+def chi_square(clean: np.ndarray, toxic: np.ndarray, n_clean: float, n_toxic: float) -> np.ndarray:
+    """By term: chi-square of its presence against the label."""
+    total, seen = n_clean + n_toxic, clean + toxic
+    spread = n_clean * n_toxic * seen * (total - seen)
+    return np.divide(total * (toxic * (n_clean - clean) - clean * (n_toxic - toxic)) ** 2, spread, out=np.zeros(len(seen)), where=spread > 0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS) -> Model:
     """A model from the labelled rows of docs for which ``usable`` (a column of docs) holds.
 
@@ -196,6 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
     all words of their whole texts; the number of examples is the only bound. Document frequencies for idf are
     counted over all rows of docs, whole texts and all words; those that no example has stay in a table. A
     document with several labels has the highest. Rows without an id, a label of 0 or 1 or a text teach nothing.
+    Examples are in order of id, then hash, so reruns agree.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
     known = known.groupBy("id").agg(F.max("y").alias("y"))
@@ -204,63 +210,54 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
     slim = materialize(texts.select("id", "h").join(known, "id"), "toxicity-labelled")
     prior = {r["y"]: r["n"] for r in slim.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = least_hashes(slim, "y", fit_docs, "toxicity").distinct()
-    sample = materialize(texts.join(F.broadcast(chosen), ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "y", "text"), "toxicity-sample")
+    sample = materialize(texts.join(F.broadcast(chosen), ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "h", "y", "text"), "toxicity-sample")
+    id_type = dict(sample.dtypes)["id"]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def terms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), 256):
-                df = (Counter(), Counter())
-                for t, y in zip(pdf["text"].iloc[i : i + 256], pdf["y"].iloc[i : i + 256]):
-                    df[int(y)].update(text_terms(t).keys())
-                terms = list(df[0].keys() | df[1].keys())
-                yield pd.DataFrame({"term": terms, "clean": [df[0][t] for t in terms], "toxic": [df[1][t] for t in terms]})
-
-    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = (float(sizes.get(y, 0)) for y in (0, 1))
-    counted = sample.select("text", "y").mapInPandas(count, "term string, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    words = counted.toArrow().sort_by("term")
-    kept = words["term"].to_pylist()
-    b, a = (words[c].to_numpy().astype(float) for c in ("clean", "toxic"))
-    total, seen = n0 + n1, a + b
-    spread = n0 * n1 * seen * (total - seen)
-    chi2 = np.divide(total * (a * (n0 - b) - b * (n1 - a)) ** 2, spread, out=np.zeros(len(kept)), where=spread > 0)
-    number = {t: i for i, t in enumerate(kept)}
+            tf = [text_terms(t) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "h": pdf["h"], "y": pdf["y"], "terms": [list(x.keys()) for x in tf], "n": [np.array(list(x.values()), "<i4").tobytes() for x in tf]})
+
+    examples = sample.mapInPandas(terms_of, f"id {id_type}, h bigint, y int, terms array<string>, n binary").orderBy("id", "h").toArrow()
+    flat = examples["terms"].combine_chunks().flatten().dictionary_encode() if examples.num_rows else None
+    words = sorted(flat.dictionary.to_pylist()) if flat is not None else []
+    number = {t: i for i, t in enumerate(words)}
+    y = examples["y"].to_numpy().astype(np.int64)
+    n = [np.frombuffer(x, "<i4").astype(float) for x in examples["n"].to_pylist()]
+    if words:
+        by_code = np.array([number[t] for t in flat.dictionary.to_pylist()], np.int64)
+        at = np.split(by_code[flat.indices.to_numpy()], np.cumsum([len(x) for x in n])[:-1])
+    else:
+        at = [np.empty(0, np.int64) for _ in n]
+    df_of = lambda label: np.bincount(np.concatenate([a for a, l in zip(at, y) if l == label] or [np.empty(0, np.int64)]).astype(np.int64), minlength=len(words)).astype(float)
+    chi2 = chi_square(df_of(0), df_of(1), float((y == 0).sum()), float((y == 1).sum()))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n = Counter(), 0
+        df, rows = np.zeros(len(number), np.int64), 0
         for pdf in batches:
-            n += len(pdf)
+            rows += len(pdf)
             other = Counter()
             for t in pdf["text"]:
-                for w in text_terms(t):
-                    at = number.get(w)
-                    if at is None:
-                        other[w] += 1
-                    else:
-                        df[at] += 1
+                own = text_terms(t)
+                places = np.array([number.get(w, -1) for w in own], np.int64)
+                df[places[places >= 0]] += 1
+                if (places < 0).any():
+                    other.update(w for w, p in zip(own, places.tolist()) if p < 0)
             if other:
                 yield pd.DataFrame({"place": -2, "term": list(other.keys()), "df": list(other.values())})
-        yield pd.DataFrame({"place": [-1, *df.keys()], "term": None, "df": [n, *df.values()]})
+        seen = np.flatnonzero(df)
+        yield pd.DataFrame({"place": np.append(seen, -1), "term": None, "df": np.append(df[seen], rows)})
 
-    def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            tf = [text_terms(t, number) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "terms": [list(x.keys()) for x in tf], "n": [list(x.values()) for x in tf]})
-
-    df = np.zeros(len(kept))
-    n_docs = 0
     everywhere = docs.select(F.col(text_col).alias("text")).mapInPandas(frequencies, "place int, term string, df bigint").groupBy("place", "term").agg(F.sum("df").alias("df"))
     everywhere = materialize(everywhere, "toxicity-df")
-    for r in everywhere.where("place >= -1").collect():
-        if r["place"] < 0:
-            n_docs = r["df"]
-        else:
-            df[r["place"]] = r["df"]
+    counted = everywhere.where("place >= -1").select("place", "df").toArrow()
+    place, found = counted["place"].to_numpy(), counted["df"].to_numpy()
+    n_docs = int(found[place < 0].sum())
+    df = np.zeros(len(words))
+    df[place[place >= 0]] = found[place >= 0]
     rest = everywhere.where("place = -2").select("term", (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("weight"))
-    rows = sample.select("id", "y", "text").mapInPandas(examples, "id bigint, y int, terms array<int>, n array<bigint>").orderBy("id").collect()
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    examples_tf = [(r["id"], r["y"], dict(zip(r["terms"], r["n"]))) for r in rows]
-    return Model(kept, idf * (1 + np.sqrt(chi2)), examples_tf, prior, rest, math.log(1 + n_docs) + 1)
+    return Model(words, idf * (1 + np.sqrt(chi2)), list(zip(examples["id"].to_pylist(), y.tolist(), at, n)), prior, rest, math.log(1 + n_docs) + 1, id_type)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -268,15 +265,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     A text without a word of the examples, an empty or null one too, scores as the labelled examples without words
     do. Cosines are of whole texts: words that no example has meet their weights in storage and lengthen the text.
+    Neighbours of equal cosine come in order of their block, then id and text hash.
     """
 
-    @F.pandas_udf("score double, length double, evidence array<struct<example_id: bigint, cosine: double, label: int>>, others array<struct<term: string, tf: double>>")
+    @F.pandas_udf(f"score double, length double, evidence array<struct<example_id: {model.id_type}, cosine: double, label: int>>, others array<string>, tf array<double>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.score(t) for t in texts], columns=["score", "length", "evidence", "others"])
+        return pd.DataFrame([model.score(t) for t in texts], columns=["score", "length", "evidence", "others", "tf"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("uid"), run(F.col(text_col)).alias("t"))
     found = materialize(rows.select("doc_id", "uid", "t.*"), "toxicity-scored")
-    others = found.select("uid", F.explode("others").alias("o")).select("uid", "o.term", "o.tf")
+    others = found.select("uid", F.explode(F.arrays_zip("others", "tf")).alias("o")).select("uid", F.col("o.others").alias("term"), "o.tf")
     weight = F.coalesce("weight", F.lit(model.unseen)) if model.rest is not None else F.lit(model.unseen)
     met = others if model.rest is None else others.join(model.rest, "term", "left")
     lengths = met.groupBy("uid").agg(F.sum(F.pow(F.col("tf") * weight, F.lit(2.0))).alias("more"))

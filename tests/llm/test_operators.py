@@ -134,7 +134,7 @@ def test_toxicity(spark, odd, none):
     assert {r["score"] for r in toxicity.score(odd, bare).collect()} == {0.0}
 
 
-def test_toxicity_uses_every_word(spark, tmp_path):
+def test_toxicity_by_brute_force(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join([f"w{'abcdefghijklmnopqrst'[k]}" for k in rng.integers(0, 20, 12)] + (["vile"] if i % 4 == 0 else []) + ["own" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10]])) for i in range(60)]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "d"))
@@ -152,10 +152,30 @@ def test_toxicity_uses_every_word(spark, tmp_path):
 
     vec = {i: {w: (1 + math.log(n)) * weight(w) for w, n in x.items()} for i, x in tf.items()}
     size = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vec.items()}
-    for r in toxicity.score(docs, model).collect():
-        q = r["doc_id"]
-        want = sorted((sum(x * vec[i].get(w, 0) for w, x in vec[q].items()) / size[q] / size[i] for i in y), reverse=True)[:15]
+    by_id = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    near = {q: sorted(((sum(x * vec[i].get(w, 0) for w, x in vec[q].items()) / size[q] / size[i], i) for i in y if i != q or q >= 40), key=lambda c: (-c[0], c[1])) for q in vec}
+    share = {q: sum(c * y[i] for c, i in near[q][: toxicity.K]) / sum(c for c, _ in near[q][: toxicity.K]) for q in vec}  # both classes weigh as labelled
+    knots = sorted((share[q], y[q]) for q in y)
+    fitted = [max(min(np.mean([b for _, b in knots[i : j + 1]]) for j in range(k, len(knots))) for i in range(k + 1)) for k in range(len(knots))]  # isotonic by minimax
+    for q, r in by_id.items():
+        want = sorted((sum(x * vec[i].get(w, 0) for w, x in vec[q].items()) / size[q] / size[i] for i in y), reverse=True)[: toxicity.K]
         assert [e["cosine"] for e in r["evidence"]] == pytest.approx([c for c in want if c > 0])
+        if q >= 40:  # calibrated score of an unlabelled text
+            assert r["score"] == pytest.approx(np.interp(share[q], [a for a, _ in knots], fitted), abs=1e-6) and r["predicted"] == int(r["score"] >= 0.7)
+
+
+def test_toxicity_ties_and_repeats(spark, tmp_path):
+    """Equal texts under other ids, rows that repeat, conflicting labels: the same result on each run, the higher label."""
+    rows = [(i, "one vile word" if i % 3 == 0 else "quite clean words here") for i in range(30)] * 2
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(30)] + [(0, 0), (3, None)], "doc_id long, toxic int")
+    runs = []
+    for n in (1, 5):
+        model = toxicity.fit(docs.repartition(n), labels, F.lit(True))
+        assert model.index.n == 30
+        runs.append(sorted((r["doc_id"], r["score"], tuple(e["example_id"] for e in r["evidence"])) for r in toxicity.score(docs, model).collect()))
+    assert runs[0] == runs[1] and all((s >= 0.7) == (d % 3 == 0) for d, s, _ in runs[0])
 
 
 def test_block_max_index_is_exact():
