@@ -119,39 +119,24 @@ SELECT e.vec_id, COALESCE(d.n, 0)::BIGINT AS n_links, LEAST(e.vec_id, COALESCE(l
 FROM embeddings e LEFT JOIN deg d ON d.a = e.vec_id LEFT JOIN least l ON l.x = e.vec_id
 """
 
-#: Rounds of doubling in the SQL: more than the longest document's lines need.
-_LEVELS = 16
-
-_OP6 = (
-    r"""
+# The longest earlier copy at each line, from all pairs of equal lines: on a diagonal (equal distance between two
+# documents' lines) pairs that follow one another are a common run, so no power of two occurs here.
+_OP6 = r"""
 WITH doc AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-each AS (SELECT rid, doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS x FROM doc),
+each AS (SELECT rid, unnest(range(len(lines))) AS i, unnest(lines) AS x FROM doc),
 wordy AS (SELECT *, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM each),
-l0 AS (SELECT rid, doc_id, i, row_number() OVER (PARTITION BY rid ORDER BY i) - 1 AS seq, md5(x) AS h, w FROM wordy WHERE w > 0),
-"""
-    + "".join(
-        f"""l{j} AS (SELECT * FROM (SELECT rid, doc_id, i, seq, md5(h || lead(h, {2 ** (j - 1)}) OVER d) AS h, w + lead(w, {2 ** (j - 1)}) OVER d AS w
-  FROM l{j - 1} WINDOW d AS (PARTITION BY rid ORDER BY seq)) WHERE h IS NOT NULL),
-"""
-        for j in range(1, _LEVELS)
-    )
-    + "".join(
-        f"""m{j} AS (SELECT rid, seq, {2**j} AS reach FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST, rid, seq) AS k FROM l{j}) WHERE k > 1 AND w >= 8),
-"""
-        for j in range(_LEVELS)
-    )
-    + "marks AS ("
-    + " UNION ALL ".join(f"SELECT * FROM m{j}" for j in range(_LEVELS))
-    + r"""),
-cover AS (SELECT l.rid, l.i, l.seq, max(l.seq + COALESCE(m.reach, 0)) OVER (PARTITION BY l.rid ORDER BY l.seq) AS stop
-  FROM l0 l LEFT JOIN (SELECT rid, seq, max(reach) AS reach FROM marks GROUP BY ALL) m ON m.rid = l.rid AND m.seq = l.seq),
+ln AS (SELECT rid, i, x, row_number() OVER d - 1 AS seq, sum(w) OVER d AS cum, w FROM wordy WHERE w > 0 WINDOW d AS (PARTITION BY rid ORDER BY i)),
+pairs AS (SELECT p.rid AS rid, p.seq AS seq, q.rid AS o_rid, p.seq - q.seq AS gap FROM ln p JOIN ln q ON p.x = q.x AND (q.rid < p.rid OR (q.rid = p.rid AND q.seq < p.seq))),
+island AS (SELECT *, seq - row_number() OVER (PARTITION BY rid, o_rid, gap ORDER BY seq) AS k FROM pairs),
+longest AS (SELECT rid, seq, max(stop) AS stop FROM (SELECT rid, seq, max(seq) OVER (PARTITION BY rid, o_rid, gap, k) + 1 AS stop FROM island) GROUP BY ALL),
+marks AS (SELECT l.rid, l.seq, l.stop FROM longest l JOIN ln a ON a.rid = l.rid AND a.seq = l.seq JOIN ln z ON z.rid = l.rid AND z.seq = l.stop - 1 WHERE z.cum - a.cum + a.w >= 8),
+cover AS (SELECT n.rid, n.i, n.seq, max(m.stop) OVER (PARTITION BY n.rid ORDER BY n.seq) AS stop FROM ln n LEFT JOIN marks m ON m.rid = n.rid AND m.seq = n.seq),
 gone AS (SELECT rid, i FROM cover WHERE stop > seq),
 kept AS (SELECT e.rid, string_agg(e.x, chr(10) ORDER BY e.i) AS text, count(*) AS n FROM each e ANTI JOIN gone g ON g.rid = e.rid AND g.i = e.i GROUP BY e.rid)
 SELECT d.doc_id, COALESCE(len(d.lines), 0)::INTEGER AS n_lines, (COALESCE(len(d.lines), 0) - COALESCE(k.n, 0))::INTEGER AS n_deleted,
   CASE WHEN d.text IS NULL THEN NULL ELSE COALESCE(k.text, '') END AS text
 FROM doc d LEFT JOIN kept k ON k.rid = d.rid
 """
-)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,

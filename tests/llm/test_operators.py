@@ -358,6 +358,50 @@ def test_line_dedup_odd(odd, none):
     assert kept.columns == odd.columns and line_dedup.dedup_lines(none).count() == 0
 
 
+def _plain_line_dedup(rows, least):
+    """Every line's longest earlier copy by comparing it with every earlier line."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    lines = {i: [(j, x, len(re.findall(r"[^\x20\x09-\x0D]+", x))) for j, x in enumerate((rows[i][1] or "").split("\n"))] for i in order}
+    wordy = {i: [s for s in lines[i] if s[2]] for i in order}
+    gone = {i: set() for i in order}
+    earlier = []
+    for i in order:
+        for p in range(len(wordy[i])):
+            best = 0
+            for d, q in earlier:
+                n = 0
+                while p + n < len(wordy[i]) and q + n < len(wordy[d]) and wordy[i][p + n][1] == wordy[d][q + n][1]:
+                    n += 1
+                best = max(best, n)
+            if sum(s[2] for s in wordy[i][p : p + best]) >= least:
+                gone[i] |= {s[0] for s in wordy[i][p : p + best]}
+            earlier.append((i, p))
+    return [(rows[i][0], None if rows[i][1] is None else "\n".join(x for j, x, _ in lines[i] if j not in gone[i]), len(gone[i])) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_dedup_by_brute_force(spark, seed, tmp_path):
+    """Few kinds of lines, so runs of all lengths repeat, overlap themselves and cross repeated and null ids."""
+    rng = np.random.default_rng(seed)
+    kinds = ["a b c", "d e f", "g h i", "", "j", "k l m n", "  "][: 4 + seed]
+    rows = [(int(i % 17) if i % 9 else None, "\n".join(kinds[k] for k in rng.integers(0, len(kinds), rng.integers(0, 14)))) for i in range(40)]
+    rows += [(50, "x y z\nu v w\nr s t"), (51, "before\nx y z\nu v w\nr s t\nafter"), (52, None)]
+    rows = [(d, t + "\n" + "\n".join(f"own {i} {k}" for k in range(int(rng.integers(0, 3)))) if t is not None else t) for i, (d, t) in enumerate(rows)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    rows = [tuple(r) for r in df.collect()]
+    got = sorted(((r["doc_id"], r["text"], r["n_deleted"]) for r in line_dedup.dedup_lines(df, details=True).collect()), key=repr)
+    assert got == sorted(_plain_line_dedup(rows, 8), key=repr)
+    assert next(n for d, _, n in got if d == 51) == 3
+
+
+def test_line_dedup_clashing_columns(spark, tmp_path):
+    rows = [(1, "one two three four five six seven eight", 5, "k", 9, 7), (2, "one two three four five six seven eight\nown", 6, "l", 8, 6)]
+    spark.createDataFrame(rows, "doc_id long, text string, rid long, lines string, gone int, __rid long").coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = sorted(tuple(r) for r in line_dedup.dedup_lines(spark.read.parquet(str(tmp_path / "d"))).collect())
+    assert got == [rows[0], (2, "own", 6, "l", 8, 6)]
+
+
 def test_license_scan(spark, odd, none):
     mit, gpl = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["GPL-3.0"]
     filler = [(100 + i, f"some words of a usual file number {i} and others", f"r/z/{i}.txt") for i in range(60)]
