@@ -20,6 +20,8 @@ from georank.llm.common import least_hashes, materialize
 
 #: Production parameters: examples of each class, neighbours, examples of an index block, decision threshold.
 FIT_DOCS, K, BLOCK, THRESHOLD = 3000, 15, 64, 0.7
+#: Texts searched for at once.
+BATCH = 128
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -46,13 +48,18 @@ def _ranges(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class BlockMaxIndex:
-    """Postings by term, cut in blocks of examples, with each block's largest weight as its bound."""
+    """Postings by term, cut in blocks of examples, with each block's largest weight as its bound.
+
+    A term that at least one example in 16 has keeps its postings and its bounds as dense rows, so that a batch of
+    queries accumulates them as one matrix product; other terms keep lists.
+    """
 
     def __init__(self, vectors: list[tuple], labels: list[int], ids: list, n_terms: int, block: int = BLOCK):
         # examples alike in their heaviest word share blocks
         order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, i))
         self.order = order
         self.n = len(order)
+        self.block = block
         self.labels = np.array([labels[i] for i in order], float)
         self.ids = [ids[i] for i in order]
         self.n_blocks = -(-self.n // block)
@@ -60,57 +67,72 @@ class BlockMaxIndex:
         terms = np.concatenate([vectors[i][0] for i in order] or [np.empty(0)]).astype(np.int64)
         weights = np.concatenate([vectors[i][1] for i in order] or [np.empty(0)])
         by = np.lexsort((docs, terms))
-        self.docs, self.weights, terms = docs[by].astype(np.int32), weights[by], terms[by]
-        # A cell is a term's postings in one block; only cells with postings are held.
-        cells = terms * max(self.n_blocks, 1) + self.docs // block
-        first = np.flatnonzero(np.diff(cells, prepend=-1))
-        self.starts = np.append(first, len(cells))
-        self.cell_block = (self.docs[first] // block).astype(np.int32)
-        self.bounds = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
-        self.term_cells = np.searchsorted(terms[first], np.arange(n_terms + 1))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k nearest examples with cosine above 0, ties to the lower place; exact.
-
-        Blocks go by falling bound, a few at first and then ever more at once; the rest is passed over once their
-        bound is below the k-th cosine.
+        self.docs, self.weights = docs[by].astype(np.int32), weights[by]
+        self.starts = np.searchsorted(terms[by], np.arange(n_terms + 1))
+        self.column = np.full(n_terms, -1, np.int64)  # of a dense term
+        dense = np.flatnonzero(np.diff(self.starts) * 16 >= max(self.n, 1))
+        self.column[dense] = np.arange(len(dense))
+        self.rows = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rows": None}  # dense rows are laid out anew where they are used
+
+    def _dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """(weights, block bounds) of the dense terms."""
+        if self.rows is None:
+            dense = np.flatnonzero(self.column >= 0)
+            rows = np.zeros((len(dense), self.n_blocks * self.block))
+            at, sizes = _ranges(self.starts[dense], self.starts[dense + 1])
+            rows[np.repeat(np.arange(len(dense)), sizes), self.docs[at]] = self.weights[at]
+            self.rows = rows, rows.reshape(len(dense), self.n_blocks, self.block).max(axis=2)
+        return self.rows
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each (terms, weights): (places, cosines) of the k nearest examples with cosine above 0, ties to the lower place; exact.
+
+        Lists are accumulated first, which gives each example a part of its cosine. Blocks then go by falling bound,
+        and a query passes over those whose bound is below its k-th cosine so far.
         """
-        places, scores = np.empty(0, np.int64), np.empty(0)
-        if not len(terms) or not self.n:
-            return places, scores
-        cells, per_term = _ranges(self.term_cells[terms], self.term_cells[terms + 1])
-        weights = np.repeat(weights, per_term)
-        bound = np.bincount(self.cell_block[cells], weights * self.bounds[cells], minlength=self.n_blocks) + 1e-12
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 1e-12]
-        done, step = 0, 4
-        while done < len(order):
-            blocks = order[done : done + step]
-            if len(scores) == k:
-                blocks = blocks[bound[blocks] >= scores[-1]]
-                if not len(blocks):
-                    break
-            got = self._accumulate(cells, weights, blocks)
-            if 0 <= skip < self.n:
-                got[skip] = 0
-            own = np.flatnonzero(got)
-            places = np.concatenate([places, own])
-            scores = np.concatenate([scores, got[own]])
-            if len(scores) > k:
-                high = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-                places, scores = places[high], scores[high]
-            best = np.lexsort((places, -scores))[:k]
-            places, scores = places[best], scores[best]
-            done, step = done + step, step * 4
-        return places, scores
-
-    def _accumulate(self, cells: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Dense cosines by place, of these blocks' examples; all postings of the cells in the blocks at once."""
-        chosen = np.zeros(self.n_blocks, bool)
-        chosen[blocks] = True
-        own = chosen[self.cell_block[cells]]
-        at, sizes = _ranges(self.starts[cells[own]], self.starts[cells[own] + 1])
-        return np.bincount(self.docs[at], np.repeat(weights[own], sizes) * self.weights[at], minlength=self.n)
+        if not self.n or not queries:
+            return [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        rows, bounds = self._dense()
+        width = self.n_blocks * self.block
+        q = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        terms = np.concatenate([t for t, _ in queries]).astype(np.int64)
+        weights = np.concatenate([w for _, w in queries])
+        column = self.column[terms]
+        heavy = np.zeros((len(queries), len(rows)))
+        heavy[q[column >= 0], column[column >= 0]] = weights[column >= 0]
+        q, terms, weights = q[column < 0], terms[column < 0], weights[column < 0]
+        at, sizes = _ranges(self.starts[terms], self.starts[terms + 1])
+        part = np.bincount(np.repeat(q, sizes) * width + self.docs[at], np.repeat(weights, sizes) * self.weights[at], minlength=len(queries) * width).astype(float).reshape(len(queries), width)
+        upper = heavy @ bounds + part.reshape(len(queries), self.n_blocks, self.block).max(axis=2) + 1e-12
+        if skip is not None:
+            part[np.arange(len(queries)), skip] = -np.inf
+        least = np.full(len(queries), 1e-300)  # a cosine that the next must reach
+        known = [np.empty(0)] * len(queries)
+        done = np.zeros((len(queries), self.n_blocks), bool)
+        order, step, first = np.argsort(-upper.max(axis=0), kind="stable"), 16, 0
+        while first < self.n_blocks:
+            blocks = order[first : first + step]
+            need = np.flatnonzero((upper[:, blocks] >= least[:, None]).any(axis=1))
+            if len(need):
+                places = (blocks[:, None] * self.block + np.arange(self.block)).ravel()
+                got = part[np.ix_(need, places)] + heavy[need] @ rows[:, places]
+                part[np.ix_(need, places)] = got
+                done[np.ix_(need, blocks)] = True
+                for j, x in zip(need.tolist(), got):
+                    best = np.concatenate([known[j], x])
+                    known[j] = np.partition(best, len(best) - k)[len(best) - k :] if len(best) > k else best
+                    if len(known[j]) == k:
+                        least[j] = max(least[j], known[j].min())
+            first += step
+        out = []
+        for j in range(len(queries)):
+            places = np.flatnonzero((part[j] >= least[j]) & np.repeat(done[j], self.block))
+            best = places[np.lexsort((places, -part[j][places]))[:k]]
+            out.append((best, part[j][best]))
+        return out
 
 
 def pool_adjacent(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,6 +162,7 @@ class Model:
 
     def __init__(self, kept: list[str], weight: np.ndarray, examples: list[tuple[object, int, np.ndarray, np.ndarray]], prior: dict[int, float], rest: DataFrame | None = None, unseen: float = 1.0, id_type: str = "bigint"):
         self.rest, self.unseen, self.id_type = rest, unseen, id_type
+        self.fitted: tuple[DataFrame, DataFrame] | None = None  # docs and their numbered words
         self.kept = {t: i for i, t in enumerate(kept)}
         self.weight = weight
         vectors = [vector(at, n, weight) for _, _, at, n in examples]
@@ -151,35 +174,38 @@ class Model:
         full = [i for i, v in enumerate(vectors) if len(v[0])]
         self.index = BlockMaxIndex([vectors[i] for i in full], [labels[i] for i in full], [examples[i][0] for i in full], len(kept))
         self.example_weight = np.where(self.index.labels > 0, share[1], share[0])
-        votes = np.array([self.vote(*vectors[full[i]][:2], skip=p)[0] for p, i in enumerate(self.index.order)])
-        self.knots = pool_adjacent(votes, self.index.labels, self.example_weight) if len(votes) else (np.array([0.0]), np.array([self.empty_score]))
+        votes = []
+        for a in range(0, len(full), BATCH):
+            chosen = range(a, min(a + BATCH, len(full)))
+            found = self.index.nearest([vectors[full[self.index.order[p]]][:2] for p in chosen], K, skip=list(chosen))
+            votes += [self.vote(*x) for x in found]
+        self.knots = pool_adjacent(np.array(votes), self.index.labels, self.example_weight) if votes else (np.array([0.0]), np.array([self.empty_score]))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "rest"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("rest", "fitted")}
 
-    def vote(self, terms, weights, skip: int = -1):
-        """(toxic share of the neighbours' votes, places, cosines); a neighbour votes with its cosine times its class's weight."""
-        places, cosines = self.index.nearest(terms, weights, skip=skip)
+    def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
+        """Toxic share of the neighbours' votes; one votes with its cosine times its class's weight."""
         votes = cosines * self.example_weight[places]
         total = float(votes.sum())
-        return float(votes @ self.index.labels[places]) / total if total > 0 else 0.0, places, cosines
+        return float(votes @ self.index.labels[places]) / total if total > 0 else 0.0
 
-    def score(self, text: str | None) -> tuple[float, float, list, list, list]:
-        """(score, length over the examples' words, evidence, other words, one plus the log of their frequency).
+    def score(self, terms: list[np.ndarray], n: list[np.ndarray]) -> list[tuple[float, float, list]]:
+        """(score, length over the examples' words, evidence) of texts given as term numbers and frequencies.
 
-        Other words add to the text's length only, so the votes, which don't depend on it, need no weight of theirs.
+        Other words add to a text's length only, so the votes, which don't depend on it, need no weight of theirs.
         """
-        words = text_terms(text)
-        number = [self.kept.get(w, -1) for w in words]
-        at, n = np.array(number, np.int64), np.array(list(words.values()), float)
-        known = at >= 0
-        terms, weights, length = vector(at[known], n[known], self.weight)
-        if not len(terms) or not self.index.n:
-            return self.empty_score, length, [], [], []
-        share, places, cosines = self.vote(terms, weights)
-        evidence = [{"example_id": self.index.ids[p], "cosine": c, "label": int(self.index.labels[p])} for p, c in zip(places.tolist(), cosines.tolist())]
-        others = [w for w, i in zip(words, number) if i < 0]
-        return float(np.clip(np.interp(share, *self.knots), 0, 1)), length, evidence, others, (1 + np.log(n[~known])).tolist()
+        vectors = [vector(a, b, self.weight) for a, b in zip(terms, n)]
+        out = []
+        for a in range(0, len(vectors), BATCH):
+            part = vectors[a : a + BATCH]
+            for v, (places, cosines) in zip(part, self.index.nearest([x[:2] for x in part], K)):
+                if not len(v[0]) or not self.index.n:
+                    out.append((self.empty_score, v[2], []))
+                    continue
+                evidence = [{"example_id": self.index.ids[p], "cosine": c, "label": int(self.index.labels[p])} for p, c in zip(places.tolist(), cosines.tolist())]
+                out.append((float(np.clip(np.interp(self.vote(places, cosines), *self.knots), 0, 1)), v[2], evidence))
+        return out
 
 
 def held_out(doc_id, modulus: int = 3, fold: int = 1):
@@ -194,6 +220,24 @@ def chi_square(clean: np.ndarray, toxic: np.ndarray, n_clean: float, n_toxic: fl
     return np.divide(total * (toxic * (n_clean - clean) - clean * (n_toxic - toxic)) ** 2, spread, out=np.zeros(len(seen)), where=spread > 0)
 
 
+def number_terms(docs: DataFrame, number: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A stage table (doc_id, uid, at, n, others, tf): a text's known words by number with frequencies (32-bit), the others by name."""
+
+    @F.pandas_udf("at binary, n binary, others array<string>, tf array<double>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            words = text_terms(t)
+            at = np.array([number.get(w, -1) for w in words], "<i4")
+            n = np.array(list(words.values()), "<i4")
+            other = at < 0
+            out.append((at[~other].tobytes(), n[~other].tobytes(), [w for w, o in zip(words, other.tolist()) if o], (1 + np.log(n[other])).tolist()))
+        return pd.DataFrame(out, columns=["at", "n", "others", "tf"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("uid"), run(F.col(text_col)).alias("t"))
+    return materialize(rows.select("doc_id", "uid", "t.*"), "toxicity-terms")
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS) -> Model:
     """A model from the labelled rows of docs for which ``usable`` (a column of docs) holds.
 
@@ -232,32 +276,29 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
     df_of = lambda label: np.bincount(np.concatenate([a for a, l in zip(at, y) if l == label] or [np.empty(0, np.int64)]).astype(np.int64), minlength=len(words)).astype(float)
     chi2 = chi_square(df_of(0), df_of(1), float((y == 0).sum()), float((y == 1).sum()))
 
+    # Words are numbered once; document frequencies and scores read the numbers.
+    numbered = number_terms(docs, number, id_col, text_col)
+
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, rows = np.zeros(len(number), np.int64), 0
         for pdf in batches:
             rows += len(pdf)
-            other = Counter()
-            for t in pdf["text"]:
-                own = text_terms(t)
-                places = np.array([number.get(w, -1) for w in own], np.int64)
-                df[places[places >= 0]] += 1
-                if (places < 0).any():
-                    other.update(w for w, p in zip(own, places.tolist()) if p < 0)
-            if other:
-                yield pd.DataFrame({"place": -2, "term": list(other.keys()), "df": list(other.values())})
+            for raw in pdf["at"]:
+                df[np.frombuffer(raw, "<i4")] += 1
         seen = np.flatnonzero(df)
-        yield pd.DataFrame({"place": np.append(seen, -1), "term": None, "df": np.append(df[seen], rows)})
+        yield pd.DataFrame({"place": np.append(seen, -1), "df": np.append(df[seen], rows)})
 
-    everywhere = docs.select(F.col(text_col).alias("text")).mapInPandas(frequencies, "place int, term string, df bigint").groupBy("place", "term").agg(F.sum("df").alias("df"))
-    everywhere = materialize(everywhere, "toxicity-df")
-    counted = everywhere.where("place >= -1").select("place", "df").toArrow()
+    counted = numbered.select("at").mapInPandas(frequencies, "place int, df bigint").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
     place, found = counted["place"].to_numpy(), counted["df"].to_numpy()
     n_docs = int(found[place < 0].sum())
     df = np.zeros(len(words))
     df[place[place >= 0]] = found[place >= 0]
-    rest = everywhere.where("place = -2").select("term", (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("weight"))
+    rare = numbered.select(F.explode("others").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    rest = materialize(rare.select("term", (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("weight")), "toxicity-rest")
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    return Model(words, idf * (1 + np.sqrt(chi2)), list(zip(examples["id"].to_pylist(), y.tolist(), at, n)), prior, rest, math.log(1 + n_docs) + 1, id_type)
+    model = Model(words, idf * (1 + np.sqrt(chi2)), list(zip(examples["id"].to_pylist(), y.tolist(), at, n)), prior, rest, math.log(1 + n_docs) + 1, id_type)
+    model.fitted = docs, numbered
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -268,13 +309,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Neighbours of equal cosine come in order of their block, then id and text hash.
     """
 
-    @F.pandas_udf(f"score double, length double, evidence array<struct<example_id: {model.id_type}, cosine: double, label: int>>, others array<string>, tf array<double>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.score(t) for t in texts], columns=["score", "length", "evidence", "others", "tf"])
+    if model.fitted is not None and model.fitted[0] is docs:
+        numbered = model.fitted[1]
+    else:
+        numbered = number_terms(docs, model.kept, id_col, text_col)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("uid"), run(F.col(text_col)).alias("t"))
-    found = materialize(rows.select("doc_id", "uid", "t.*"), "toxicity-scored")
-    others = found.select("uid", F.explode(F.arrays_zip("others", "tf")).alias("o")).select("uid", F.col("o.others").alias("term"), "o.tf")
+    @F.pandas_udf(f"score double, length double, evidence array<struct<example_id: {model.id_type}, cosine: double, label: int>>")
+    def run(at: pd.Series, n: pd.Series) -> pd.DataFrame:
+        found = model.score([np.frombuffer(x, "<i4") for x in at], [np.frombuffer(x, "<i4").astype(float) for x in n])
+        return pd.DataFrame(found, columns=["score", "length", "evidence"])
+
+    found = materialize(numbered.select("doc_id", "uid", run("at", "n").alias("t")).select("doc_id", "uid", "t.*"), "toxicity-scored")
+    others = numbered.select("uid", F.explode(F.arrays_zip("others", "tf")).alias("o")).select("uid", F.col("o.others").alias("term"), "o.tf")
     weight = F.coalesce("weight", F.lit(model.unseen)) if model.rest is not None else F.lit(model.unseen)
     met = others if model.rest is None else others.join(model.rest, "term", "left")
     lengths = met.groupBy("uid").agg(F.sum(F.pow(F.col("tf") * weight, F.lit(2.0))).alias("more"))

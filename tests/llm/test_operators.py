@@ -172,7 +172,7 @@ def test_toxicity_ties_and_repeats(spark, tmp_path):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(30)] + [(0, 0), (3, None)], "doc_id long, toxic int")
     runs = []
     for n in (1, 5):
-        model = toxicity.fit(docs.repartition(n), labels, F.lit(True))
+        model = toxicity.fit(docs.repartition(n), labels, F.lit(True))  # score() numbers the words anew, for other docs
         assert model.index.n == 30
         runs.append(sorted((r["doc_id"], r["score"], tuple(e["example_id"] for e in r["evidence"])) for r in toxicity.score(docs, model).collect()))
     assert runs[0] == runs[1] and all((s >= 0.7) == (d % 3 == 0) for d, s, _ in runs[0])
@@ -185,10 +185,20 @@ def test_block_max_index_is_exact():
         t = np.sort(rng.choice(40, rng.integers(1, 9), replace=False))
         w = rng.random(len(t))
         vectors.append((t, w / np.sqrt((w * w).sum()), 1.0))
-    index = toxicity.BlockMaxIndex(vectors, [0] * 300, list(range(300)), 40, block=16)
-    for t, w, _ in vectors[:60]:
-        want = sorted((float(sum(a * b for x, a in zip(t, w) for y, b in zip(u, v) if x == y)) for u, v, _ in vectors), reverse=True)[:15]
-        assert index.nearest(t, w)[1] == pytest.approx([x for x in want if x > 0])
+    for block in (16, 64):
+        index = toxicity.BlockMaxIndex(vectors, [0] * 300, list(range(300)), 40, block=block)
+        index.column[::2] = -1  # half of the terms keep lists
+        index.column[index.column >= 0] = np.arange((index.column >= 0).sum())
+        for skip in (None, [7] * 60):
+            got = index.nearest([(t, w) for t, w, _ in vectors[:60]], 15, skip)
+            for (t, w, _), (places, cosines) in zip(vectors[:60], got):
+                want = []
+                for p, i in enumerate(index.order):
+                    if skip is None or p != 7:
+                        u, v, _ = vectors[i]
+                        want.append((float(sum(a * b for x, a in zip(t, w) for y, b in zip(u, v) if x == y)), p))
+                want = sorted((c for c in want if c[0] > 0), key=lambda c: (-c[0], c[1]))[:15]
+                assert cosines == pytest.approx([c for c, _ in want])
 
 
 def test_packing(spark, odd, none):
@@ -419,7 +429,7 @@ def test_license_scan(spark, odd, none):
 
 def test_language_model_by_brute_force(spark, odd, none, monkeypatch):
     monkeypatch.setattr(language_model, "BUCKET_GRAMS", 5000)
-    monkeypatch.setattr(language_model, "BLOCK_BITS", 5)
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 60_000)
     for docs in (odd, spark.read.parquet(f"{DATA}/documents.parquet")):
         texts = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in docs.collect()]
         one, two = Counter(), Counter()
@@ -436,14 +446,14 @@ def test_language_model_by_brute_force(spark, odd, none, monkeypatch):
                 else:
                     s += math.log(max(one[x] - own1[x], 0.5) / max(rest, 1)) + (math.log(0.4) if i else 0)
             want.append((d, len(w), round(s / len(w), 6) if w else None))
-        got = [(r["doc_id"], r["n_tokens"], None if r["log_score"] is None else round(r["log_score"], 6)) for r in language_model.score(docs).collect()]
+        got = [(r["doc_id"], r["n_tokens"], None if r["log_score"] is None else round(r["log_score"], 6)) for r in language_model.score(docs, order=2).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
     assert language_model.score(none).count() == 0
 
 
 @pytest.mark.parametrize("order", [1, 3, 4])
 def test_language_model_of_any_order(spark, odd, monkeypatch, order):
-    monkeypatch.setattr(language_model, "BLOCK_BITS", 1)
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 100)
     rng = np.random.default_rng(4)
     short = spark.createDataFrame([(100 + i, " ".join("abc"[k] for k in rng.integers(0, 3, i))) for i in range(12)], "doc_id long, text string")
     texts = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in odd.select("doc_id", "text").union(short).collect()]
@@ -467,6 +477,12 @@ def test_language_model_of_any_order(spark, odd, monkeypatch, order):
     assert language_model.ORDER >= 3
 
 
+def test_packed_numbers():
+    for numbers in ([0], [0, 0, 0], [5, 2**63, 255, 256], list(range(1000))):
+        a = np.array(numbers, np.uint64)
+        assert language_model._unpack(language_model._pack(a), len(a)).tolist() == numbers
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
