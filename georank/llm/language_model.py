@@ -16,7 +16,7 @@ from georank.llm.common import WORD
 #: Production parameters: weight of a backoff step, words of the longest n-grams.
 BACKOFF, ORDER = 0.4, 3
 #: Bytes of text of a block of documents, and n-grams of a partition of the count table: bounds of one task's arrays.
-BLOCK_BYTES, BUCKET_GRAMS = 8_000_000, 2_000_000
+BLOCK_BYTES, BUCKET_GRAMS = 4_000_000, 2_000_000
 #: Bits of an n-gram's hash beyond those that number the corpus's n-grams: about one n-gram in 2^24 shares its hash, at any size.
 _SPARE = 24
 
