@@ -1,7 +1,13 @@
-"""SimHash near-duplicates by meet-in-the-middle ball hashing: every fingerprint emits its half-radius ball."""
+"""SimHash near-duplicates by meet-in-the-middle ball hashing: every fingerprint emits its half-radius ball.
+
+near_duplicates links 64-bit fingerprints of word shingles within a radius. keep_first is for copies of a shingle
+similarity of 0.8 or more: such pairs differ in about ten of 64 bits of shingle fingerprints, whose balls are far too large,
+so it finds candidates by wide fingerprints of the texts' words, in which they are close, and verifies shingle sketches.
+"""
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -15,6 +21,8 @@ from georank.llm.common import components, materialize
 BITS = 64
 HASH_SEED = 42
 RADIUS = 2
+#: Wide fingerprints: blocks of 32 bits, radius within a block, longs of a shingle sketch.
+BLOCKS, BLOCK_BITS, BLOCK_RADIUS, SKETCH_LONGS = 4, 32, 2, 8
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -100,18 +108,113 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component: that of the smallest id (null ids last); of rows with this id, the first in the table.
+def _more_bits(hashes: np.ndarray, longs: int) -> np.ndarray:
+    """(hashes, longs): further 64-bit hashes of each hash, the first being itself."""
+    out = [hashes]
+    with np.errstate(over="ignore"):
+        for k in range(1, longs):
+            x = hashes + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out.append(x ^ (x >> np.uint64(31)))
+    return np.stack(out, axis=1)
+
+
+def wide_simhash(hashes: np.ndarray, longs: int) -> np.ndarray:
+    """The simhash of a set of hashes in 64-bit parts (signed), of bits of several hashes each; zeros for none."""
+    ones = np.zeros(BITS * longs, np.int64)
+    for i in range(0, len(hashes), 1 << 12):  # bounded memory for very long texts
+        part = np.ascontiguousarray(_more_bits(hashes[i : i + (1 << 12)], longs))
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
+    """BLOCKS x 32 bits of the distinct words, then SKETCH_LONGS x 64 bits of the distinct shingles; A-Z lower-cased."""
+    words = {w for w in (text or "").encode("utf-8", "surrogatepass").lower().split()}
+    ones = np.fromiter((xxhash.xxh64_intdigest(w, HASH_SEED) for w in sorted(words)), np.uint64, len(words))
+    longs = BLOCKS * BLOCK_BITS // BITS
+    return [*wide_simhash(ones, longs).tolist(), *wide_simhash(np.unique(shingle_hashes(text, shingle)), SKETCH_LONGS).tolist()]
+
+
+def sketch_distance(similarity: float) -> int:
+    """Bits by which sketches of two sets of a Jaccard similarity differ: the mean and one deviation."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = SKETCH_LONGS * BITS
+    return int(bits * p + math.sqrt(bits * p * (1 - p)))
+
 
-    docs must be a table in storage: rows are known by their place in it. Columns stay as they are.
+def wide_radius() -> int:
+    """Radius of the words' fingerprints: of two that differ in no more bits, some block differs in at most BLOCK_RADIUS."""
+    return BLOCKS * (BLOCK_RADIUS + 1) - 1
+
+
+def wide_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect exactly what direct links connect, from classes (cid, fp), fp by wide_fingerprint and distinct.
+
+    Two are linked if their words' fingerprints differ in at most wide_radius() bits and their sketches in at most
+    sketch_distance(similarity). By pigeonhole the former agree in a block up to BLOCK_RADIUS bits, so block values
+    emit their balls of half that radius and meet at a centre, at most one member for each mask; colliding values are
+    pairs of values, not of classes. First each class is held against the least class of its values, and these against
+    those of the values near them; that connects nearly all. Then only classes of values that are near each other but in
+    different components meet, so a large group of near copies isn't expanded into its pairs.
+    """
+    longs = BLOCKS * BLOCK_BITS // BITS
+    per_long = BITS // BLOCK_BITS
+    block = lambda k: F.shiftrightunsigned(F.get("fp", F.lit(k // per_long)), BLOCK_BITS * (k % per_long)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+    keyed = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), block(k).alias("v")) for k in range(BLOCKS)])).alias("b")
+    members = materialize(classes.select("cid", keyed).select("b.k", "b.v", "cid"), "simhash-members")
+    values = materialize(members.groupBy("k", "v").agg(F.min("cid").alias("hub")), "simhash-values")
+    masks = [sum(1 << b for b in bits) for n in range((BLOCK_RADIUS + 1) // 2 + 1) for bits in combinations(range(BLOCK_BITS), n)]
+    centre = F.explode(F.from_json(F.lit(str(masks)), "array<bigint>")).alias("mask")
+    variants = values.repartition("k", "v").select("k", "v", centre).select(F.shiftleft(F.col("k").cast("long"), BLOCK_BITS).bitwiseOR(F.col("v").bitwiseXOR(F.col("mask"))).alias("centre"), "v", "k")
+    met = variants.groupBy("centre").agg(F.first("k").alias("k"), F.collect_list("v").alias("vs")).where(F.size("vs") > 1)
+    each = met.select("k", "vs", F.explode("vs").alias("v")).select("k", "v", F.explode(F.filter("vs", lambda w: w > F.col("v"))).alias("w"))
+    pairs = materialize(each.where(F.bit_count(F.col("v").bitwiseXOR(F.col("w"))) <= BLOCK_RADIUS).distinct(), "simhash-values-near")
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        one = classes.select(F.col("cid").alias("a"), F.col("fp").alias("fa"))
+        two = classes.select(F.col("cid").alias("b"), F.col("fp").alias("fb"))
+        apart = lambda i, j: sum((F.bit_count(F.get("fa", F.lit(n)).bitwiseXOR(F.get("fb", F.lit(n)))) for n in range(i, j)), F.lit(0))
+        near = (apart(0, longs) <= wide_radius()) & (apart(longs, longs + SKETCH_LONGS) <= sketch_distance(similarity))
+        distinct = candidates.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return distinct.join(one, "a").join(two, "b").where(near).select("a", "b")
+
+    own = members.join(values, ["k", "v"]).select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+    hub = lambda v, name: values.select("k", F.col("v").alias(v), F.col("hub").alias(name))
+    across = pairs.join(hub("v", "a"), ["k", "v"]).join(hub("w", "b"), ["k", "w"]).select("a", "b")
+    first = materialize(verified(own.union(across)), "simhash-links-1")
+
+    named = components(first, "simhash-components-1").withColumnRenamed("node", "cid")
+    placed = materialize(members.join(named, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "simhash-placed")
+    groups = placed.select("k", "v", "component").distinct()
+    other = groups.select("k", F.col("v").alias("w"), F.col("component").alias("component_w"))
+    same = groups.join(other.withColumn("v", F.col("w")), ["k", "v"]).where("component < component_w")
+    near = pairs.join(groups, ["k", "v"]).join(other, ["k", "w"]).where("component <> component_w")
+    apart = same.select("k", "v", "component", "w", "component_w").union(near.select("k", "v", "component", "w", "component_w"))
+    left = placed.select("k", "v", "component", F.col("cid").alias("a"))
+    right = placed.select("k", F.col("v").alias("w"), F.col("component").alias("component_w"), F.col("cid").alias("b"))
+    second = verified(apart.join(left, ["k", "v", "component"]).join(right, ["k", "w", "component_w"]).select("a", "b"))
+    return first.union(second)
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of near copies: that of the smallest id (null ids last); of rows with this id, the first in the table.
+
+    docs must be a table in storage: rows are known by their place in it. Near copies are linked by wide_links; equal
+    texts always are, word-free ones with each other too, and links chain. Columns stay as they are, whatever their names.
     """
-    placed = docs.withColumn("__uid", F.monotonically_increasing_id())
-    rows = materialize(fingerprints(placed, shingle, "__uid", text_col).withColumnRenamed("doc_id", "uid"), "fingerprints-5")
-    ids = placed.select(F.col("__uid").alias("uid"), F.col(id_col).alias("id"))
+
+    @F.pandas_udf("array<bigint>")
+    def wide(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(t, shingle) for t in texts])
+
+    numbered = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("uid"))
     # Of equal fingerprints the first row is known before links are looked for: one small row for each class.
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("first")
-    classes = materialize(rows.join(ids, "uid").groupBy("fp").agg(first), "fingerprint-classes")
-    linked = components(fingerprint_links(classes.select("fp"), radius), "simhash-components")
-    joined = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
-    kept = joined.groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("first").alias("first")).select(F.col("first.uid").alias("__uid"))
-    return placed.join(kept, "__uid", "left_semi").select(*docs.columns)
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), wide(F.col(text_col)).alias("fp"))
+    classes = materialize(rows.groupBy("fp").agg(first, F.min("uid").alias("cid")), "simhash-classes")
+    linked = components(wide_links(classes.select("cid", "fp"), similarity), "simhash-components")
+    joined = classes.select("cid", "first").join(linked.withColumnRenamed("node", "cid"), "cid", "left")
+    kept = joined.groupBy(F.coalesce("component", "cid").alias("c")).agg(F.min("first").alias("first")).select(F.col("first.uid").alias("uid"))
+    return numbered.join(kept, "uid", "left_semi").select("row.*")

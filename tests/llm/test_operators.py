@@ -337,8 +337,81 @@ def test_simhash_by_brute_force(spark, odd, source):
     want = sorted(((d, f, min((x for x in least[root[f]] if x is not None), default=None)) for d, f in rows), key=repr)
     got = simhash.near_duplicates(docs, shingle=3)
     assert sorted(((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in got.collect()), key=repr) == want
-    kept = simhash.keep_first(docs, shingle=3)
-    assert kept.columns == docs.columns and kept.count() == len({root[f] for _, f in rows})
+
+
+def _near(f, g, similarity=0.8):
+    bits = [(a ^ b) % 2**64 for a, b in zip(f, g)]
+    words = sum(b.bit_count() for b in bits[:2])
+    return words <= simhash.wide_radius() and sum(b.bit_count() for b in bits[2:]) <= simhash.sketch_distance(similarity)
+
+
+def _plain_keep_first(rows):
+    """Places of the rows that stay, by links between all pairs of texts."""
+    texts = sorted({r[1] or "" for r in rows})
+    fps = {t: tuple(simhash.wide_fingerprint(t, 5)) for t in texts}
+    root = {t: t for t in texts}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for a in texts:
+        for b in texts:
+            if a < b and _near(fps[a], fps[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    best = {}
+    for i, r in enumerate(rows):
+        key = (r[0] is None, r[0] or 0, i)
+        best[find(r[1] or "")] = min(best.get(find(r[1] or ""), key), key)
+    return sorted(i for _, _, i in best.values())
+
+
+@pytest.mark.parametrize("source", ["odd", "data", "edited"])
+def test_keep_first_by_brute_force(spark, odd, tmp_path, source):
+    rng = np.random.default_rng(8)
+    if source == "edited":  # chains and stars of edited copies, so that least members of values are not near to all
+        rows = []
+        for g in range(12):
+            words = [f"w{k}" for k in rng.integers(0, 4000, int(rng.integers(60, 300)))]
+            for c in range(14):
+                edited = list(words)
+                for k in rng.integers(0, len(words), int(len(words) * rng.choice([0.0, 0.004, 0.01, 0.02, 0.05]))):
+                    edited[k] = f"x{rng.integers(0, 10**6)}"
+                if c % 3 == 0:
+                    words = edited
+                rows.append((len(rows) * 7 % 1000 if rng.random() > 0.05 else None, " ".join(edited)))
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+        docs = spark.read.parquet(str(tmp_path / "d"))
+    else:
+        docs = odd if source == "odd" else spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").withColumn("u", F.monotonically_increasing_id()).orderBy("u").collect()]
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    want = [rows[i][:2] for i in _plain_keep_first(rows)]
+    assert sorted(map(tuple, kept.select("doc_id", "text").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_wide_fingerprints_find_near_copies():
+    """Recall over given texts and copies with random words substituted, of a five-word shingle similarity of 0.8 or more; few far below it."""
+    rng = np.random.default_rng(4)
+    texts = [t for (t,) in duckdb.connect().execute("select text from '/root/testdata/sf0.01/documents.parquet' where text is not null order by doc_id").fetchall()]
+    texts = [w for w in (t.lower().split() for t in texts) if 100 <= len(w) <= 5000]
+    vocabulary = sorted({w for t in texts for w in t})
+    found, wrong = [], []
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for words in texts:
+        edited = list(words)
+        for k in rng.integers(0, len(words), 1 + int(len(words) * rng.choice([0.0, 0.005, 0.01, 0.02, 0.08]))):
+            edited[k] = vocabulary[rng.integers(0, len(vocabulary))]
+        a, b = shingles(words), shingles(edited)
+        j = len(a & b) / len(a | b)
+        near = _near(simhash.wide_fingerprint(" ".join(words), 5), simhash.wide_fingerprint(" ".join(edited), 5))
+        if j >= 0.8:
+            found.append(near)
+        elif j < 0.65:
+            wrong.append(near)
+    assert len(found) > 300 and np.mean(found) >= 0.9 and len(wrong) > 50 and np.mean(wrong) <= 0.05
 
 
 @pytest.mark.parametrize("radius", [0, 1, 2, 3])
