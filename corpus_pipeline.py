@@ -29,9 +29,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates on five-word shingles: the one with the smallest id."""
+    """One document of each group of near-duplicates, of a similarity of five-word shingles of 0.8 or more: the one with the smallest id."""
     ship(spark)
-    return simhash.keep_first(docs, shingle=5, radius=2)
+    return simhash.keep_first(docs, shingle=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
