@@ -17,8 +17,8 @@ from georank.llm.common import materialize
 
 CAPACITY = 4096
 END_ID = 1
-#: Tokens of one packing task: the whole input is dealt over total / GROUP_TOKENS groups.
-GROUP_TOKENS = 1 << 25
+#: Tokens and pieces of one packing task: the whole input is dealt over as many groups as either needs.
+GROUP_TOKENS, GROUP_PIECES = 1 << 25, 1 << 20
 #: Words that a worker remembers, about 200 bytes each; the memory of a task's cache is bounded by it.
 CACHE_WORDS = 600_000
 
@@ -41,7 +41,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Texts with an added token's name in them are the tokenizer's own: it finds such tokens before it splits.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}  # little-endian 32-bit ids
         self.cache_words = cache_words
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -78,7 +79,7 @@ class WordEncoder:
         self.cache.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(words, bounds, bounds[1:]))
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if _PLAIN.search(t) else t.lower().split() for t in texts]
+        split = [None if _PLAIN.search(t) or any(a in low for a in self.added) else low.split() for t, low in ((t, t.lower()) for t in texts)]
         new: set[str] = set()
         for words in split:
             if words:
@@ -182,13 +183,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_
     """pieces, a table written to storage, with sequence_id and offset (place in the sequence, gapless from 0).
 
     Rows are dealt evenly by a hash of their place in the table over as many groups as their tokens need, so equal
-    rows spread too; each group is packed by sum_of_squares in one task that holds a few numbers a row. The other
+    rows spread too, and as their number needs; each group is packed by sum_of_squares in one task that holds a few numbers a row. The other
     columns, ids among them, meet their places in a join that can spill. A group leaves at most a few sequences
     partly filled. Columns of pieces named sequence_id or offset are replaced.
     """
     pieces = pieces.drop("sequence_id", "offset").withColumn("__uid", F.monotonically_increasing_id())
-    total = pieces.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, -(-total // group_tokens))
+    total, n = pieces.agg(F.sum("length"), F.count("*")).first()
+    groups = max(1, -(-(total or 0) // group_tokens), -(-n // GROUP_PIECES))
     dealt = pieces.select("__uid", "length", F.pmod(F.xxhash64("__uid"), F.lit(groups)).alias("__group"))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
