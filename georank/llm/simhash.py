@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from georank.llm.common import components, materialize
+from georank.llm.common import components, materialize, partitions
 
 BITS = 64
 HASH_SEED = 42
@@ -167,8 +167,9 @@ def wide_links(classes: DataFrame, similarity: float) -> DataFrame:
     values = materialize(members.groupBy("k", "v").agg(F.min("cid").alias("hub")), "simhash-values")
     masks = [sum(1 << b for b in bits) for n in range((BLOCK_RADIUS + 1) // 2 + 1) for bits in combinations(range(BLOCK_BITS), n)]
     centre = F.explode(F.from_json(F.lit(str(masks)), "array<bigint>")).alias("mask")
-    variants = values.repartition("k", "v").select("k", "v", centre).select(F.shiftleft(F.col("k").cast("long"), BLOCK_BITS).bitwiseOR(F.col("v").bitwiseXOR(F.col("mask"))).alias("centre"), "v", "k")
-    met = variants.groupBy("centre").agg(F.first("k").alias("k"), F.collect_list("v").alias("vs")).where(F.size("vs") > 1)
+    variants = values.repartition(partitions(classes.sparkSession), "k", "v").select("k", "v", centre).select(F.shiftleft(F.col("k").cast("long"), BLOCK_BITS).bitwiseOR(F.col("v").bitwiseXOR(F.col("mask"))).alias("centre"), "v", "k")
+    # Nearly every centre has one value, so lists are not begun before the shuffle.
+    met = variants.repartition("centre").groupBy("centre").agg(F.first("k").alias("k"), F.collect_list("v").alias("vs")).where(F.size("vs") > 1)
     each = met.select("k", "vs", F.explode("vs").alias("v")).select("k", "v", F.explode(F.filter("vs", lambda w: w > F.col("v"))).alias("w"))
     pairs = materialize(each.where(F.bit_count(F.col("v").bitwiseXOR(F.col("w"))) <= BLOCK_RADIUS).distinct(), "simhash-values-near")
 
