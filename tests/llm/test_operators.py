@@ -205,7 +205,6 @@ def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_path())
-    whole.encode_special_tokens = True
     packed = packing.pack_documents(odd, tokenizer_path(), capacity=512)
     rows = packed.collect()
     by_doc = defaultdict(list)
@@ -232,6 +231,29 @@ def test_packing(spark, odd, none):
     assert packing.pack_documents(none, tokenizer_path()).count() == 0
 
 
+def test_word_ids_equal_the_tokenizer():
+    """Whole texts: given documents, special tokens in any case and place, marks after letters, Latin letters, other scripts."""
+    from tokenizers import Tokenizer
+
+    texts = [t or "" for (t,) in duckdb.connect().execute(f"select text from '{DATA}/documents.parquet'").fetchall()]
+    texts += ["a <|endoftext|> b", "x<|endoftext|>y", "A <|ENDOFTEXT|> b", "<|startoftext|> one, two; three: four! five? six.", "well... really?! (yes), \"no\"; it's don't can't won't", "Größe naïve café ÀÉÎ ß ſ øre", "Ωmega İstanbul 日本語 текст", "a\u00a0b\u2028c\x85d\x1ce", "e\u0301 n\u0303.", "12 34.5 x½ ² 3rd", "word.word word., ,word"]
+    rng = np.random.default_rng(0)
+    signs = list("abcXYZéß.,;:!?'\"-_()<|>0 9\n\t ") + ["<|endoftext|>"]
+    texts += ["".join(signs[k] for k in rng.integers(0, len(signs), 60)) for _ in range(300)]
+    whole = Tokenizer.from_file(tokenizer_path())
+    for encoder in (packing.WordEncoder(tokenizer_path()), packing.WordEncoder(tokenizer_path(), cache_words=50)):
+        for i in range(0, len(texts), 64):
+            for t, ids in zip(texts[i : i + 64], encoder.encode_all(texts[i : i + 64])):
+                assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def test_packing_deals_by_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    packed = packing.pack_documents(docs, tokenizer_path(), capacity=30).collect()
+    assert len(packed) == 400 and len({r["sequence_id"] >> 32 for r in packed}) == 8 and len({r["sequence_id"] for r in packed}) <= 48
+
+
 def test_sum_of_squares_rule():
     """Each placement against the plain definition."""
     rng = np.random.default_rng(2)
@@ -296,6 +318,14 @@ def test_embedding_dedup_by_brute_force(spark, tmp_path, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_labels_of_any_type(spark, tmp_path):
+    v = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.001]]
+    for i, (kind, labels, linked) in enumerate([("string", ["a", "a"], True), ("string", ["a", "b"], False), ("double", [1.2, 1.7], False), ("double", [0.5, 0.5], True), ("string", [None, None], False)]):
+        spark.createDataFrame(list(zip([1, 2], v, labels)), f"vec_id long, embedding array<double>, label {kind}").write.parquet(str(tmp_path / str(i)))
+        got = embedding_dedup.near_duplicates(spark.read.parquet(str(tmp_path / str(i)))).collect()
+        assert all((r["n_links"] == 1) == linked for r in got)
+
+
 def test_top_k_by_brute_force(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 37)
     rows = _vectors(6, 200)
@@ -486,7 +516,8 @@ def test_line_dedup_clashing_columns(spark, tmp_path):
 
 
 def test_license_scan(spark, odd, none):
-    mit, gpl = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["GPL-3.0"]
+    short = {n: t for n, t in reversed(license_scan.TEMPLATES)}
+    mit, gpl = short["MIT"], short["GPL-3.0"]
     filler = [(100 + i, f"some words of a usual file number {i} and others", f"r/z/{i}.txt") for i in range(60)]
     files = [(1, mit, "r/LICENSE"), (2, "code here\nmore", "r/a/b/x.py"), (3, f"{' '.join(f'first{i}' for i in range(40))}\n{gpl}\nlast line", "r/a/y.py"), (4, gpl, "r/a/c/COPYING"), (5, "z", "r/a/c/d/z.py"),
              (6, "z", "q/z.py"), (7, None, None), (8, mit.replace("Released", "released"), None), (8, "", "r/e.txt")]
@@ -500,6 +531,70 @@ def test_license_scan(spark, odd, none):
     assert license_scan.scan(odd, F.col("source")).count() == len(ODD) and license_scan.scan(none, F.col("source")).count() == 0
 
 
+def _plain_licenses(rows, templates, least):
+    """(own licence, whether the whole text is one) by plain cosines of whole texts and of the windows at heavy terms."""
+    tokens = [re.findall(r"[^\W_]+", (t or "").lower()) for _, t, _ in rows]
+    df = Counter(w for ws in tokens for w in set(ws))
+
+    def vector(words):
+        return {w: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[w])) + 1) for w, n in Counter(words).items()}
+
+    def cosine(u, v):
+        size = math.sqrt(sum(x * x for x in u.values()) * sum(x * x for x in v.values()))
+        return round(sum(x * v.get(w, 0) for w, x in u.items()) / size, 9) if size else 0.0
+
+    known = [(n, ws, vector(ws)) for n, ws in ((n, re.findall(r"[^\W_]+", t.lower())) for n, t in templates)]
+    out = []
+    for words in tokens:
+        whole = min(((-c, n) for n, _, v in known if (c := cosine(vector(words), v)) >= least), default=None)
+        header = None
+        for _, ws, v in known:
+            left, total = sum(x * x for x in v.values()), sum(x * x for x in v.values())
+            for term, x in sorted(v.items(), key=lambda i: (-i[1], i[0])):
+                if math.sqrt(max(left, 0) / total) < least:
+                    break
+                left -= x * x
+                for i in (i for i, w in enumerate(words) if w == term):
+                    start = max(0, i - ws.index(term))
+                    part = vector(words[start : start + len(ws)])
+                    scored = [(-cosine(part, u), n) for n, _, u in known]
+                    header = min([h for h in scored if -h[0] >= least] + [header] * (header is not None), default=None)
+        out.append((whole, header))
+    return out
+
+
+def test_license_scan_by_brute_force(spark):
+    """Full texts, notices wrapped at any width with comment marks, statements amid words, edited and cut ones, ties between templates."""
+    import textwrap
+
+    rng = np.random.default_rng(3)
+    templates = [*license_scan.TEMPLATES, ("Zz-Copy", license_scan.TEMPLATES[0][1])]
+    filler = lambda n: " ".join(f"word{k}" for k in rng.integers(0, 400, n))
+    rows = []
+    for i, (_, t) in enumerate(templates):
+        rows += [(len(rows), t, f"p{i}/LICENSE"), (len(rows) + 1, "Copyright (c) 2021 Jane Doe\n" + t, f"p{i}/src/COPYING"), (len(rows) + 2, filler(30), f"p{i}/src/a/b.py")]
+        rows.append((len(rows), "\n".join(f" * {line}" for line in textwrap.wrap(t, 40)) + "\n" + filler(200), f"q{i}/c.py"))
+        rows.append((len(rows), f"{filler(40)} {t} {filler(40)}", None))
+        words = t.split()
+        rows.append((len(rows), filler(20) + " " + " ".join(w for k, w in enumerate(words) if k % 9) + " " + filler(20), f"r{i}/d.py"))
+        rows.append((len(rows), " ".join(words[: len(words) // 3]), f"s{i}/e.py"))
+    rows += [(len(rows), "Copyright 2021 Jane Doe. Released under the MIT License. All rights reserved. " + filler(60), "t/f.py"), (len(rows) + 1, None, "t/g.py"), (len(rows) + 2, "", None)]
+    rows += [(len(rows) + i, filler(50), f"u/{i}.txt") for i in range(150)]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, p string"), F.col("p"), templates=templates).collect()}
+    own = _plain_licenses(rows, templates, 0.8)
+    for (d, _, path), (whole, header) in zip(rows, own):
+        want = whole or header
+        if want:
+            assert (got[d]["license"], got[d]["found"], got[d]["cosine"]) == (want[1], "file" if whole else "header", -want[0])
+        else:
+            above = [] if path is None else [path.rsplit("/", k)[0] for k in range(1, path.count("/") + 1)] + [""]
+            held = [(p.rpartition("/")[0], p, w[1]) for (_, _, p), (w, _) in zip(rows, own) if w and p]
+            near = next((min((p, n) for a, p, n in held if a == folder)[1] for folder in above if any(a == folder for a, _, _ in held)), None)
+            assert (got[d]["license"], got[d]["found"]) == (near, "inherited" if near else None)
+    assert sum(w is not None for w, _ in own) >= 2 * len(templates) and sum(w is None and h is not None for w, h in own) >= 2 * len(templates)
+    assert got[next(d for d, t, _ in rows if t and t.startswith("Copyright 2021"))]["license"] == "MIT"
+
+
 def test_language_model_by_brute_force(spark, odd, none, monkeypatch):
     monkeypatch.setattr(language_model, "BUCKET_GRAMS", 5000)
     monkeypatch.setattr(language_model, "BLOCK_BYTES", 60_000)
