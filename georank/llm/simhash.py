@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from georank.llm.common import components, materialize, partitions
@@ -23,6 +23,8 @@ HASH_SEED = 42
 RADIUS = 2
 #: Wide fingerprints: blocks of 32 bits, radius within a block, longs of a shingle sketch.
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS, SKETCH_LONGS = 4, 32, 2, 8
+#: Classes of a centre that one row is held against.
+CHUNK = 512
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -154,49 +156,48 @@ def wide_links(classes: DataFrame, similarity: float) -> DataFrame:
 
     Two are linked if their words' fingerprints differ in at most wide_radius() bits and their sketches in at most
     sketch_distance(similarity). By pigeonhole the former agree in a block up to BLOCK_RADIUS bits, so block values
-    emit their balls of half that radius and meet at a centre, at most one member for each mask; colliding values are
-    pairs of values, not of classes. First each class is held against the least class of its values, and these against
-    those of the values near them; that connects nearly all. Then only classes of values that are near each other but in
-    different components meet, so a large group of near copies isn't expanded into its pairs.
+    emit their balls of half that radius and meet at a centre, at most one value for each mask. First each class is held
+    against the least class of its values, and these against the least of each centre; that connects most. Then, where
+    classes of different components meet at a centre, each is held against the others there, in chunks of CHUNK; a
+    class gives the components that it links to, so a large group of near copies isn't expanded into its pairs.
     """
     longs = BLOCKS * BLOCK_BITS // BITS
     per_long = BITS // BLOCK_BITS
     block = lambda k: F.shiftrightunsigned(F.get("fp", F.lit(k // per_long)), BLOCK_BITS * (k % per_long)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-    keyed = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), block(k).alias("v")) for k in range(BLOCKS)])).alias("b")
-    members = materialize(classes.select("cid", keyed).select("b.k", "b.v", "cid"), "simhash-members")
-    values = materialize(members.groupBy("k", "v").agg(F.min("cid").alias("hub")), "simhash-values")
+    value = lambda k: F.lit(k << BLOCK_BITS).cast("long").bitwiseOR(block(k))  # noqa: E731  (a block's number and its bits)
+    members = materialize(classes.select("cid", F.explode(F.array(*[value(k) for k in range(BLOCKS)])).alias("v")), "simhash-members")
+    values = materialize(members.groupBy("v").agg(F.min("cid").alias("hub"), F.count("*").alias("n")), "simhash-values")
     masks = [sum(1 << b for b in bits) for n in range((BLOCK_RADIUS + 1) // 2 + 1) for bits in combinations(range(BLOCK_BITS), n)]
-    centre = F.explode(F.from_json(F.lit(str(masks)), "array<bigint>")).alias("mask")
-    variants = values.repartition(partitions(classes.sparkSession), "k", "v").select("k", "v", centre).select(F.shiftleft(F.col("k").cast("long"), BLOCK_BITS).bitwiseOR(F.col("v").bitwiseXOR(F.col("mask"))).alias("centre"), "v", "k")
+    ball = F.explode(F.from_json(F.lit(str(masks)), "array<bigint>")).alias("mask")
+    variants = values.repartition(partitions(classes.sparkSession), "v").select("v", ball).select(F.col("v").bitwiseXOR(F.col("mask")).alias("centre"), "v")
     # Nearly every centre has one value, so lists are not begun before the shuffle.
-    met = variants.repartition("centre").groupBy("centre").agg(F.first("k").alias("k"), F.collect_list("v").alias("vs")).where(F.size("vs") > 1)
-    each = met.select("k", "vs", F.explode("vs").alias("v")).select("k", "v", F.explode(F.filter("vs", lambda w: w > F.col("v"))).alias("w"))
-    pairs = materialize(each.where(F.bit_count(F.col("v").bitwiseXOR(F.col("w"))) <= BLOCK_RADIUS).distinct(), "simhash-values-near")
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        one = classes.select(F.col("cid").alias("a"), F.col("fp").alias("fa"))
-        two = classes.select(F.col("cid").alias("b"), F.col("fp").alias("fb"))
-        apart = lambda i, j: sum((F.bit_count(F.get("fa", F.lit(n)).bitwiseXOR(F.get("fb", F.lit(n)))) for n in range(i, j)), F.lit(0))
-        near = (apart(0, longs) <= wide_radius()) & (apart(longs, longs + SKETCH_LONGS) <= sketch_distance(similarity))
-        distinct = candidates.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return distinct.join(one, "a").join(two, "b").where(near).select("a", "b")
-
-    own = members.join(values, ["k", "v"]).select(F.col("cid").alias("a"), F.col("hub").alias("b"))
-    hub = lambda v, name: values.select("k", F.col("v").alias(v), F.col("hub").alias(name))
-    across = pairs.join(hub("v", "a"), ["k", "v"]).join(hub("w", "b"), ["k", "w"]).select("a", "b")
-    first = materialize(verified(own.union(across)), "simhash-links-1")
+    met = variants.repartition("centre").groupBy("centre").agg(F.collect_list("v").alias("vs")).where(F.size("vs") > 1)
+    centres = materialize(met.select("centre", F.explode("vs").alias("v")), "simhash-centres")
+
+    def apart(one: Column, two: Column, i: int, j: int) -> Column:
+        return sum((F.bit_count(F.get(one, F.lit(n)).bitwiseXOR(F.get(two, F.lit(n)))) for n in range(i, j)), F.lit(0))
+
+    def near(one: Column, two: Column) -> Column:
+        return (apart(one, two, 0, longs) <= wide_radius()) & (apart(one, two, longs, longs + SKETCH_LONGS) <= sketch_distance(similarity))
+
+    own = members.join(values, "v").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+    hubs = centres.join(values, "v").groupBy("centre").agg(F.collect_list("hub").alias("hubs"))
+    across = hubs.select(F.explode("hubs").alias("a"), F.array_min("hubs").alias("b"))
+    asked = own.union(across).where("a <> b").distinct()
+    one, two = classes.select(F.col("cid").alias("a"), F.col("fp").alias("fa")), classes.select(F.col("cid").alias("b"), F.col("fp").alias("fb"))
+    first = materialize(asked.join(one, "a").join(two, "b").where(near(F.col("fa"), F.col("fb"))).select("a", "b"), "simhash-links")
 
     named = components(first, "simhash-components-1").withColumnRenamed("node", "cid")
     placed = materialize(members.join(named, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "simhash-placed")
-    groups = placed.select("k", "v", "component").distinct()
-    other = groups.select("k", F.col("v").alias("w"), F.col("component").alias("component_w"))
-    same = groups.join(other.withColumn("v", F.col("w")), ["k", "v"]).where("component < component_w")
-    near = pairs.join(groups, ["k", "v"]).join(other, ["k", "w"]).where("component <> component_w")
-    apart = same.select("k", "v", "component", "w", "component_w").union(near.select("k", "v", "component", "w", "component_w"))
-    left = placed.select("k", "v", "component", F.col("cid").alias("a"))
-    right = placed.select("k", F.col("v").alias("w"), F.col("component").alias("component_w"), F.col("cid").alias("b"))
-    second = verified(apart.join(left, ["k", "v", "component"]).join(right, ["k", "w", "component_w"]).select("a", "b"))
-    return first.union(second)
+    # A value's own classes meet as at a centre of that value alone.
+    meet = centres.union(values.where("n > 1").select((-F.col("v") - 1).alias("centre"), "v")).join(placed, "v").select("centre", "cid", "component")
+    mixed = meet.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("centre", "n")
+    rows = materialize(meet.join(mixed, "centre").join(classes, "cid").select("centre", "n", "cid", "component", "fp"), "simhash-mixed")
+    chunk = F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / CHUNK))
+    chunks = rows.groupBy("centre", chunk.alias("chunk")).agg(F.collect_list(F.struct("component", "fp")).alias("others")).drop("chunk")
+    other = F.filter("others", lambda o: (o["component"] < F.col("component")) & near(o["fp"], F.col("fp")))
+    second = rows.join(chunks, "centre").select(F.col("component").alias("a"), F.explode(F.array_distinct(F.transform(other, lambda o: o["component"]))).alias("b"))
+    return first.union(second.distinct())
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
