@@ -32,12 +32,20 @@ def clamp01(x: Column) -> Column:
     return F.when(x.isNull(), x).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
-def evidence(raw: Column, default: float = 0.0) -> Column:
-    """A raw value as text to a number in [0, 1]: true and false count as 1 and 0, unparsable and null as the default."""
+_DIGITS = "[0-9]+(?:_[0-9]+)*"
+_NUMBER = f"^[+-]?(?:(?:{_DIGITS}\\.?(?:{_DIGITS})?|\\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?|(?i:inf|infinity|nan))$"
+
+
+def evidence(raw: Column, default: float = 0.0, is_boolean: Column | None = None) -> Column:
+    """A raw value as text to a number in [0, 1]; unparsable and null count as the default.
+
+    Digits may be grouped by underscores; inf and nan are numbers. A JSON boolean (is_boolean) counts as 1 or 0; the text
+    "true" is no number.
+    """
     text = F.trim(raw.cast("string"))
-    number = F.when(F.lower(text) == "true", F.lit(1.0)).when(F.lower(text) == "false", F.lit(0.0)).when(
-        text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[Nn][Aa][Nn]$"), text.try_cast("double")
-    )
+    number = F.when(text.rlike(_NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+    if is_boolean is not None:
+        number = F.when(is_boolean, F.when(text == "true", 1.0).otherwise(0.0)).otherwise(number)
     return clamp01(F.coalesce(number, F.lit(default)))
 
 

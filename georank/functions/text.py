@@ -37,13 +37,31 @@ def property_value(json: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(F.try_parse_json(json), quoted, kind)
 
 
-def rule(value: Column, number: Column, eq=None, ne=None, lte=None, gte=None, contains=None) -> Column:
-    """A filter rule's predicate, never null: every given operator must hold; null passes ne alone."""
+def property_kind(json: Column, path: str) -> Column:
+    """The type of a property: STRING, BOOLEAN, a numeric type or another; null where it is missing."""
+    return F.schema_of_variant(property_value(json, path, "variant"))
+
+
+def _same(value: Column, number: Column, kind: Column | None, literal) -> Column:
+    """Equality by type: a text equals texts only; numbers and booleans equal each other by value, 1, 1.0 and true alike."""
+    is_text = F.lit(True) if kind is None else kind == "STRING"
+    if isinstance(literal, str):
+        return F.coalesce(is_text & (value == F.lit(literal)), F.lit(False))
+    truth = F.when(value == "true", 1.0).when(value == "false", 0.0)
+    known = number if kind is None else F.when(kind == "BOOLEAN", truth).when(kind != "STRING", number)
+    return F.coalesce(known == F.lit(float(literal)), F.lit(False))
+
+
+def rule(value: Column, number: Column, eq=None, ne=None, lte=None, gte=None, contains=None, kind: Column | None = None) -> Column:
+    """A filter rule's predicate, never null: every given operator must hold; null passes ne alone.
+
+    value and number are the property as text and as double; kind is its type, without which texts are taken for texts.
+    """
     tests = []
     if eq is not None:
-        tests.append(value.eqNullSafe(F.lit(eq)))
+        tests.append(_same(value, number, kind, eq))
     if ne is not None:
-        tests.append(~value.eqNullSafe(F.lit(ne)))
+        tests.append(~_same(value, number, kind, ne))
     if lte is not None:
         tests.append(F.coalesce(number <= float(lte), F.lit(False)))
     if gte is not None:

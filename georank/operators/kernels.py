@@ -152,9 +152,10 @@ def terrain(dem: np.ndarray, dx: float, dy: float, sigma: float = 3.0) -> tuple[
     if np.isfinite(dem).sum() < 20:
         return 0.0, 0.5, 0.0, 0.0
     filled = fill_median(dem)
-    slope = np.degrees(np.arctan(np.hypot(*np.gradient(filled, dy, dx))))
-    micro = np.clip(np.std(filled - gaussian(filled, max(sigma, 0.5))) / 1.5, 0, 1)
-    p5, p95 = np.percentile(filled, [5, 95])
+    ok = np.isfinite(dem)  # filled cells serve their neighbours only
+    slope = np.degrees(np.arctan(np.hypot(*np.gradient(filled, dy, dx))))[ok]
+    micro = np.clip(np.std((filled - gaussian(filled, max(sigma, 0.5)))[ok]) / 1.5, 0, 1)
+    p5, p95 = np.percentile(dem[ok], [5, 95])
     p90 = float(np.percentile(slope, 90))
     rugged = 0.6 * np.clip(p90 / 20, 0, 1) + 0.4 * np.clip((p95 - p5) / 30, 0, 1)
     return float(micro), float(rugged), float(np.median(slope)), p90

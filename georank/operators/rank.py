@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from georank.functions import scoring
-from georank.functions.geo import in_zone
+from georank.operators.zones import outside_all
 from georank.settings import Settings
 
 MODES = ("public", "restricted", "authorized")
@@ -23,7 +23,7 @@ def withhold(mode: str, in_zone: Column, settings: Settings) -> Column:
     g = settings.guardrails
     blocked = g.block_in_red_zones and (g.red_zone_access == "block" or g.red_zone_access == "authorized-only" and mode != "authorized")
     by_zone = in_zone if blocked else F.lit(False)
-    by_level = F.col("sensitivity") == "sensitive" if g.withhold_sensitive and mode != "authorized" else F.lit(False)
+    by_level = F.coalesce(F.col("sensitivity") == "sensitive", F.lit(False)) if g.withhold_sensitive and mode != "authorized" else F.lit(False)
     return by_zone | by_level
 
 
@@ -47,7 +47,7 @@ def drop_withheld(df: DataFrame, mode: str, zones: DataFrame | None, settings: S
     )
     if zones is None or not blocked:
         return kept
-    return kept.join(zones, in_zone(kept["lat"], kept["lon"], zones), "left_anti")
+    return outside_all(kept, zones)
 
 
 def rank(df: DataFrame, mode: str = "public", zones: DataFrame | None = None, settings: Settings | None = None, redaction: str = "shift") -> DataFrame:

@@ -13,20 +13,32 @@ def find_asset(assets: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """(item_id, group, key, href): each group's asset of each item, from rows (item_id, ord, key, title, bands, href).
 
     First the exact key in alias order; else the first asset, then alias, that matches loosely: equal keys, a title
-    that contains the alias, or a band of that name, all by letters and digits.
+    that contains the alias, or a band of that name, all by letters and digits. Of assets of one place the least key, then href.
     """
-    wanted = [F.struct(F.lit(g).alias("group"), F.lit(i).alias("alias_ord"), F.lit(a).alias("alias")) for g, names in aliases.items() for i, a in enumerate(names)]
-    pairs = assets.where(F.col("href").isNotNull()).withColumn("w", F.explode(F.array(*wanted))).select("*", "w.*")
-    a = alias_key(F.col("alias"))
-    loose = (alias_key(F.col("key")) == a) | F.coalesce(F.contains(alias_key(F.col("title")), a), F.lit(False)) | F.coalesce(F.exists("bands", lambda b: alias_key(b) == a), F.lit(False))
-    exact = F.col("key") == F.col("alias")
-    order = F.when(exact, F.struct(F.lit(0).alias("p"), F.col("alias_ord").alias("x"), F.col("ord").alias("y"))).otherwise(F.struct(F.lit(1).alias("p"), F.col("ord").alias("x"), F.col("alias_ord").alias("y")))
-    hits = pairs.where(exact | loose)
-    return hits.groupBy("item_id", "group").agg(F.min_by(F.struct("key", "href"), order).alias("m")).select("item_id", "group", "m.key", "m.href")
-
-
-def with_all_groups(found: DataFrame, groups: int) -> DataFrame:
-    """Items for which every group found an asset."""
+    # Names are normalized once for each asset; groups are tested in place, and one aggregate an item finds all.
+    named = assets.where(F.col("href").isNotNull()).select(
+        "item_id", "ord", "key", "href", alias_key(F.col("key")).alias("k"), alias_key(F.col("title")).alias("t"), F.transform("bands", alias_key).alias("b")
+    )
+    first = []
+    for i, (group, names) in enumerate(aliases.items()):
+        known = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+        listed = F.array(*[F.struct(F.lit(n).alias("alias_ord"), F.lit("".join(c for c in a.lower() if c.isalnum())).alias("a")) for n, a in enumerate(names)])
+        matched = F.filter(listed, lambda w: (F.col("k") == w["a"]) | F.coalesce(F.contains(F.col("t"), w["a"]), F.lit(False)) | F.coalesce(F.array_contains("b", w["a"]), F.lit(False))) if names else F.array()
+        exact = F.array_position(known, F.col("key"))
+        order = F.when(exact > 0, F.struct(F.lit(0).alias("p"), exact.cast("long").alias("x"), F.col("ord").cast("long").alias("y"), "key", "href")).when(
+            F.size(matched) > 0, F.struct(F.lit(1).alias("p"), F.col("ord").cast("long").alias("x"), F.get(matched, F.lit(0))["alias_ord"].cast("long").alias("y"), "key", "href")
+        ) if names else F.lit(None).cast("struct<p:int,x:bigint,y:bigint,key:string,href:string>")
+        first.append(F.struct(F.lit(group).alias("group"), F.min(order).alias("m")).alias(f"g{i}"))
+    found = named.groupBy("item_id").agg(*first)
+    return found.select("item_id", F.explode(F.array(*[f"g{i}" for i in range(len(first))])).alias("g")).where("g.m is not null").select("item_id", "g.group", "g.m.key", "g.m.href")
+
+
+def with_all_groups(found: DataFrame, groups: int, items: DataFrame | None = None) -> DataFrame:
+    """Items for which every group found an asset; with no groups all items (item_id) stay."""
+    if groups == 0:
+        if items is None:
+            raise ValueError("without groups the items themselves are needed")
+        return items.select("item_id").distinct()
     return found.groupBy("item_id").agg(F.count_distinct("group").alias("n")).where(F.col("n") == groups).select("item_id")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -54,11 +55,14 @@ def tile_aoi(spark: SparkSession, ring: Ring, size: float, step: float | None =
     else:
         ship(spark)
 
-        @F.udf("double")
-        def share(x0: float, y0: float) -> float:
-            return clip_area(ring, x0, y0, size) / max(size * size, 1.0)
+        @F.pandas_udf("double")
+        def share(x0: pd.Series, y0: pd.Series) -> pd.Series:
+            return pd.Series([clip_area(ring, a, b, size) / max(size * size, 1.0) for a, b in zip(x0, y0)], dtype=float)
 
-        coverage = share("x0", "y0")
+        coverage = share.asNondeterministic()("x0", "y0")  # so that the filter doesn't run it a second time
     kept = grid.withColumn("coverage", coverage).where(F.col("coverage") >= min_coverage)
-    number = F.row_number().over(Window.orderBy("ix", "iy")) - 1
-    return kept.withColumn("seq", number).select("seq", F.format_string("tile-%05d", F.col("seq") + 1).alias("tile_id"), "x0", "y0", F.lit(float(size)).alias("size"), "coverage")
+    # Kept tiles before a column come from counts by column; within a column tiles are numbered on their own.
+    by_column = kept.groupBy("ix").agg(F.count("*").alias("n"))
+    before = by_column.select("ix", (F.sum("n").over(Window.orderBy("ix")) - F.col("n")).alias("before"))
+    number = F.row_number().over(Window.partitionBy("ix").orderBy("iy")) - 1
+    return kept.join(before, "ix").withColumn("seq", F.col("before") + number).select("seq", F.format_string("tile-%05d", F.col("seq") + 1).alias("tile_id"), "x0", "y0", F.lit(float(size)).alias("size"), "coverage")

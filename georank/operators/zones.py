@@ -8,12 +8,23 @@ from pyspark.sql import functions as F
 from georank.functions.geo import edges_meet_box, in_zone
 
 
-def inside_any(df: DataFrame, zones: DataFrame) -> DataFrame:
-    return df.join(zones, in_zone(df["lat"], df["lon"], zones), "left_semi")
+#: Degrees of a grid cell by which rows and zones meet.
+CELL = 0.05
 
 
-def outside_all(df: DataFrame, zones: DataFrame) -> DataFrame:
-    return df.join(zones, in_zone(df["lat"], df["lon"], zones), "left_anti")
+def _by_cell(df: DataFrame, zones: DataFrame, how: str, cell: float) -> DataFrame:
+    """An equi join on the row's grid cell, then the exact test; a row without a place is in no zone."""
+    z = with_cells(zones, cell)
+    same = (F.floor(df["lat"] / cell) == z["cell_y"]) & (F.floor(df["lon"] / cell) == z["cell_x"])
+    return df.join(z, same & in_zone(df["lat"], df["lon"], z), how)
+
+
+def inside_any(df: DataFrame, zones: DataFrame, cell: float = CELL) -> DataFrame:
+    return _by_cell(df, zones, "left_semi", cell)
+
+
+def outside_all(df: DataFrame, zones: DataFrame, cell: float = CELL) -> DataFrame:
+    return _by_cell(df, zones, "left_anti", cell)
 
 
 def with_cells(zones: DataFrame, cell: float) -> DataFrame:
@@ -22,7 +33,7 @@ def with_cells(zones: DataFrame, cell: float) -> DataFrame:
     return zones.withColumn("cell_y", span("min_lat", "max_lat")).withColumn("cell_x", span("min_lon", "max_lon"))
 
 
-def tag(df: DataFrame, zones: DataFrame, half: float = 0.0, cell: float = 0.05) -> DataFrame:
+def tag(df: DataFrame, zones: DataFrame, half: float = 0.0, cell: float = CELL) -> DataFrame:
     """df with zone_names (in zone order), sensitivity from them and tags; a row's box reaches ``half`` degrees around it.
 
     Touching counts. Rows and zones meet by grid cell; a box wider than a cell meets each of its cells.

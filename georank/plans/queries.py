@@ -73,12 +73,18 @@ def weight_fallback_unknown(spark, sf_dir):
     return rank.score(fx.candidates(spark, sf_dir)).where("landscape = 'unknown'").select("seq", F.round("raw", 10).alias("raw"))
 
 
-@query("evidence_cleaning", """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 1.0::DOUBLE WHEN event_id % 4 = 1 THEN 0.0::DOUBLE WHEN event_id % 4 = 2 THEN 1.0::DOUBLE
-  ELSE greatest(0, least(1, value / 100)) END AS cleaned FROM events""")
+#: Raw evidence as text, by event; the last is the event's own value.
+_RAW = ("true", "1_0", "NaN", "inf", " 0.25 ", "-3", "1.5e-1", "0x1", "")
+
+
+@query("evidence_cleaning", "WITH r AS (SELECT event_id, CASE event_id % 11 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_RAW)) + """ WHEN 9 THEN NULL ELSE (value / 100)::VARCHAR END AS raw FROM events)
+SELECT event_id, greatest(0, least(1, COALESCE(CASE WHEN raw LIKE '0x%' THEN NULL ELSE TRY_CAST(trim(raw) AS DOUBLE) END, 0))) AS cleaned FROM r""")
 def evidence_cleaning(spark, sf_dir):
     e = fx.table(spark, sf_dir, "events")
-    raw = F.when(F.col("event_id") % 4 == 0, "true").when(F.col("event_id") % 4 == 1, "1_0").when(F.col("event_id") % 4 == 2, "NaN").otherwise((F.col("value") / 100).cast("string"))
-    return e.select("event_id", scoring.evidence(raw).alias("cleaned"))
+    raw = F.when(F.col("event_id") % 11 == 9, None)
+    for i, x in enumerate(_RAW):
+        raw = raw.when(F.col("event_id") % 11 == i, x)
+    return e.select("event_id", scoring.evidence(raw.otherwise((F.col("value") / 100).cast("string"))).alias("cleaned"))
 
 
 _SETTINGS = [(access, mode) for access in ("block", "authorized-only", "allow-all") for mode in rank.MODES]
@@ -120,6 +126,30 @@ def zone_anti_join(spark, sf_dir):
     return zones.outside_all(fx.candidates(spark, sf_dir), fx.zone_boxes(spark)).select("seq")
 
 
+#: A ring with a hole over the lattice, in degrees.
+_SHAPE = ([(90.011, 47.021), (90.291, 47.041), (90.251, 47.161), (90.061, 47.131)], [(90.121, 47.061), (90.181, 47.061), (90.181, 47.111), (90.121, 47.111)])
+_SHAPE_SQL = "(" + " + ".join(
+    f"CASE WHEN ({y1} > lat) <> ({y2} > lat) AND lon < {x1} + (lat - {y1}) * ({x2 - x1!r}::DOUBLE) / ({y2 - y1!r}::DOUBLE) THEN 1 ELSE 0 END"
+    for ring in _SHAPE for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]) if y1 != y2
+) + ") % 2 = 1"
+
+
+def _shape(spark):
+    edges = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((*a, *b), ("x1", "y1", "x2", "y2"))]) for ring in _SHAPE for a, b in zip(ring, ring[1:] + ring[:1])])
+    xs, ys = zip(*_SHAPE[0])
+    return spark.range(1).select(F.lit(0).alias("zone_ord"), F.lit("ring").alias("name"), F.lit(min(ys)).alias("min_lat"), F.lit(max(ys)).alias("max_lat"), F.lit(min(xs)).alias("min_lon"), F.lit(max(xs)).alias("max_lon"), edges.alias("edges"))
+
+
+@query("zone_polygon_semi", f"WITH {fx.CANDIDATES} SELECT seq FROM cand WHERE {_SHAPE_SQL}")
+def zone_polygon_semi(spark, sf_dir):
+    return zones.inside_any(fx.candidates(spark, sf_dir), _shape(spark)).select("seq")
+
+
+@query("zone_polygon_anti", f"WITH {fx.CANDIDATES} SELECT seq FROM cand WHERE NOT ({_SHAPE_SQL})")
+def zone_polygon_anti(spark, sf_dir):
+    return zones.outside_all(fx.candidates(spark, sf_dir), _shape(spark)).select("seq")
+
+
 @query("zone_tagging_collect", f"""WITH {fx.CANDIDATES}, {fx.ZONES_SQL},
 h AS (SELECT s.seq, string_agg(z.name, '|' ORDER BY z.zone_ord) AS names FROM cand s JOIN zones z ON s.lat + 0.002 >= z.min_lat AND s.lat - 0.002 <= z.max_lat AND s.lon + 0.002 >= z.min_lon AND s.lon - 0.002 <= z.max_lon GROUP BY 1)
 SELECT s.seq, COALESCE(h.names, '') AS zone_names, CASE WHEN h.names IS NULL THEN 'normal' ELSE 'sensitive' END AS sensitivity FROM cand s LEFT JOIN h USING (seq)""")
@@ -143,27 +173,33 @@ def nulls_first_desc(spark, sf_dir):
     return select_items.pick(fx.table(spark, sf_dir, "events"), "event_type", key, True, "event_id", 6).select("event_id", "event_type", "rn")
 
 
-_POINTS = f"{fx.CANDIDATES}, pt AS (SELECT seq, x, y FROM cand WHERE sensitivity = 'restricted')"
+# Candidates scattered over a square by their number, so that all of them make small clusters.
+_SCATTER = "(p_partkey * 7919) % 10007 * 1.0::DOUBLE AS x, (p_partkey * 104729) % 10009 * 1.0::DOUBLE AS y"
+_POINTS = f"{fx.CANDIDATES}, pt AS (SELECT p_partkey AS seq, {_SCATTER} FROM part JOIN cand ON seq = p_partkey)"
 
 
 def _points(spark, sf_dir):
-    return fx.candidates(spark, sf_dir).where("sensitivity = 'restricted'")
+    k = F.col("seq")
+    return fx.candidates(spark, sf_dir).withColumn("x", (k * 7919 % 10007).cast("double")).withColumn("y", (k * 104729 % 10009).cast("double"))
+
+
+_NEAR = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 
 
-@query("distance_pairs_bucketed", f"WITH {_POINTS} SELECT a.seq AS a, b.seq AS b FROM pt a JOIN pt b ON a.seq < b.seq AND abs(a.x - b.x) <= 1300 AND abs(a.y - b.y) <= 1300 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 1250 + 1e-6")
+@query("distance_pairs_bucketed", f"WITH {_POINTS} SELECT a.seq AS a, b.seq AS b FROM pt a JOIN pt b ON a.seq < b.seq AND abs(a.x - b.x) <= 500 AND abs(a.y - b.y) <= 500 AND {_NEAR} <= 500 + 1e-6")
 def distance_pairs_bucketed(spark, sf_dir):
-    return cluster.distance_pairs(_points(spark, sf_dir), 1250)
+    return cluster.distance_pairs(_points(spark, sf_dir), 500)
 
 
-_COMPONENTS = f"""{fx.CANDIDATES}, pt AS (SELECT seq, x, y FROM cand WHERE sensitivity = 'sensitive'),
-pr AS (SELECT a.seq AS a, b.seq AS b FROM pt a JOIN pt b ON a.seq <> b.seq AND abs(a.x - b.x) <= 800 AND abs(a.y - b.y) <= 800 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 800 + 1e-6),
+_COMPONENTS = f"""{_POINTS},
+pr AS (SELECT a.seq AS a, b.seq AS b FROM pt a JOIN pt b ON a.seq <> b.seq AND abs(a.x - b.x) <= 180 AND abs(a.y - b.y) <= 180 AND {_NEAR} <= 180 + 1e-6),
 reach AS (SELECT seq AS x, seq AS y FROM pt UNION SELECT r.x, p.b FROM reach r JOIN pr p ON r.y = p.a),
 comp AS (SELECT x AS seq, min(y) AS component FROM reach GROUP BY 1)"""
 
 
 def _members(spark, sf_dir):
-    c = rank.score(fx.candidates(spark, sf_dir).where("sensitivity = 'sensitive'"))
-    comp = cluster.connected_components(c, cluster.distance_pairs(c, 800))
+    c = rank.score(_points(spark, sf_dir))
+    comp = cluster.connected_components(c, cluster.distance_pairs(c, 180))
     return c.join(comp, "seq").withColumn("adjusted_score", F.round("adjusted", 4)).withColumn("reasons", scoring.reasons(F.col("adjusted"), F.lit(None).cast("array<string>")))
 
 
@@ -178,7 +214,7 @@ _MEMBERS = f"{_COMPONENTS}, {fx.SCORED.replace(fx.CANDIDATES, '').strip().lstrip
 @query("cluster_summary", f"""WITH RECURSIVE {_MEMBERS},
 agg AS (SELECT component, count(*) AS member_count, avg(adj) AS mean, max(adj) AS top, min_by(candidate_id, (-adj, seq)) AS top_candidate_id FROM mem GROUP BY 1),
 v AS (SELECT *, greatest(0, least(1, 0.65 * top + 0.25 * mean + 0.10 * greatest(0, least(1, (member_count - 1) / 4.0)))) AS s FROM agg)
-SELECT component, member_count, round(s, 4) AS cluster_score, round(mean, 4) AS mean_adjusted_score, top_candidate_id FROM v""")
+SELECT component, member_count, round(s::DECIMAL(20, 14), 4)::DOUBLE AS cluster_score, round(mean, 4) AS mean_adjusted_score, top_candidate_id FROM v""")
 def cluster_summary(spark, sf_dir):
     return cluster.summarize(_members(spark, sf_dir)).select("component", "member_count", "cluster_score", "mean_adjusted_score", "top_candidate_id")
 
@@ -190,13 +226,25 @@ def cluster_mode_tiebreak(spark, sf_dir):
     return cluster.dominant(_members(spark, sf_dir), "landscape")
 
 
-@query("cluster_reasons_capped")
+@query("cluster_reasons_capped", f"""WITH RECURSIVE {_MEMBERS},
+each AS (SELECT seq, component, candidate_id, row_number() OVER (PARTITION BY component ORDER BY adj DESC, seq) AS k, count(*) OVER (PARTITION BY component) AS n, {_REASONS_SQL} AS reasons FROM mem),
+said AS (SELECT component, 0 AS k, 0 AS i, 'cluster supported by ' || max(n) || ' adjacent tile(s)' AS r FROM each GROUP BY 1 UNION ALL
+  SELECT component, k, unnest(range(1, len(reasons) + 1)) AS i, unnest(reasons) AS r FROM each WHERE k <= 3),
+once AS (SELECT component, r, min(k * 100 + i) AS pos FROM said GROUP BY ALL),
+capped AS (SELECT component, r, pos, row_number() OVER (PARTITION BY component ORDER BY pos) AS p FROM once)
+SELECT component, string_agg(r, '|' ORDER BY pos) AS reasons, (SELECT string_agg(candidate_id, '|' ORDER BY k) FROM each e WHERE e.component = c.component) AS members FROM capped c WHERE p <= 8 GROUP BY component""")
 def cluster_reasons_capped(spark, sf_dir):
     return cluster.summarize(_members(spark, sf_dir)).select("component", F.array_join("reasons", "|").alias("reasons"), F.array_join("member_ids", "|").alias("members"))
 
 
+@query("cluster_public_location", f"""WITH RECURSIVE {_MEMBERS}, place AS (SELECT component, avg(lat) AS lat, avg(lon) AS lon FROM mem GROUP BY 1)
+SELECT component, round(lat + 5000 / 111320.0::DOUBLE, 9) AS lat, round(lon - 5000.0::DOUBLE / (111320.0::DOUBLE * greatest(cos(radians(lat)), 0.1::DOUBLE)), 9) AS lon, 'redacted' AS location_mode FROM place""")
+def cluster_public_location(spark, sf_dir):
+    return cluster.summarize(_members(spark, sf_dir), "public").select("component", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "location_mode")
+
+
 @query("cluster_area_cells", f"""WITH RECURSIVE {_COMPONENTS},
-cell AS (SELECT DISTINCT component, (x / 250)::BIGINT + i AS cx, (y / 250)::BIGINT + j AS cy FROM comp JOIN pt USING (seq), range(2) a(i), range(2) b(j))
+cell AS (SELECT DISTINCT component, round(x / 250)::BIGINT + i AS cx, round(y / 250)::BIGINT + j AS cy FROM comp JOIN pt USING (seq), range(2) a(i), range(2) b(j))
 SELECT component, count(*) * 6.25::DOUBLE AS area_ha FROM cell GROUP BY 1""")
 def cluster_area_cells(spark, sf_dir):
     return cluster.covered_area_ha(_members(spark, sf_dir), 500, 250)
@@ -263,6 +311,21 @@ def filter_rules_all_ops(spark, sf_dir):
     return e.where(kind & text.rule(value, number, lte=80, gte=10, contains="1")).select("event_id")
 
 
+@query("filter_rules_typed", """WITH v AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"a": 5}' WHEN 1 THEN '{"a": "5"}' WHEN 2 THEN '{"a": true}' WHEN 3 THEN '{"a": 1.0}' ELSE '{}' END::JSON AS p FROM events),
+t AS (SELECT event_id, json_type(p, '$.a') AS k, p ->> 'a' AS x FROM v),
+n AS (SELECT *, CASE WHEN k = 'BOOLEAN' THEN (x = 'true')::INTEGER::DOUBLE WHEN k <> 'VARCHAR' THEN x::DOUBLE END AS num FROM t)
+SELECT event_id, COALESCE(num = 5, false) AS is_five, COALESCE(k = 'VARCHAR' AND x = '5', false) AS is_text, COALESCE(num = 1, false) AS is_true, NOT COALESCE(num = 5, false) AS not_five FROM n""")
+def filter_rules_typed(spark, sf_dir):
+    cases = ['{"a": 5}', '{"a": "5"}', '{"a": true}', '{"a": 1.0}']
+    json = F.lit("{}")
+    for i, c in enumerate(cases):
+        json = F.when(F.col("event_id") % 5 == i, c).otherwise(json)
+    e = fx.table(spark, sf_dir, "events").select("event_id", json.alias("p"))
+    value, number, kind = text.property_value(F.col("p"), "a"), text.property_value(F.col("p"), "a", "double"), text.property_kind(F.col("p"), "a")
+    test = lambda **ops: text.rule(value, number, kind=kind, **ops)
+    return e.select("event_id", test(eq=5).alias("is_five"), test(eq="5").alias("is_text"), test(eq=True).alias("is_true"), test(ne=5).alias("not_five"))
+
+
 @query("json_path_lookup", "SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, NULL::BIGINT AS missing FROM events")
 def json_path_lookup(spark, sf_dir):
     e = fx.table(spark, sf_dir, "events")
@@ -282,7 +345,7 @@ def filename_sanitize(spark, sf_dir):
 @query("asset_first_match", """WITH a AS (SELECT o_orderkey AS item_id, l_linenumber * 1000000 + l_partkey AS ord, l_returnflag AS key, l_linestatus AS title FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 w(grp, ao, alias) AS (VALUES ('red', 0, 'R'), ('red', 1, 'A'), ('nir', 0, 'x'), ('nir', 1, 'f')),
 h AS (SELECT a.*, w.*, key = alias AS exact FROM a, w WHERE key = alias OR lower(key) = lower(alias) OR contains(lower(title), lower(alias))),
-k AS (SELECT *, row_number() OVER (PARTITION BY item_id, grp ORDER BY NOT exact, CASE WHEN exact THEN ao ELSE ord END, CASE WHEN exact THEN ord ELSE ao END) AS n FROM h)
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id, grp ORDER BY NOT exact, CASE WHEN exact THEN ao ELSE ord END, CASE WHEN exact THEN ord ELSE ao END, key) AS n FROM h)
 SELECT item_id, grp AS "group", key, ord::VARCHAR AS href FROM k WHERE n = 1""")
 def asset_first_match(spark, sf_dir):
     return _found_assets(spark, sf_dir)

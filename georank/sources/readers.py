@@ -9,7 +9,7 @@ from georank.functions import scoring
 from georank.functions.text import zone_name
 
 _CANDIDATE = ", ".join(
-    ["candidate_id string", "lat double", "lon double", "landscape string", "sensitivity string", *[f"{e} string" for e in scoring.EVIDENCE], "tags array<string>", "source_dates array<string>", "notes array<string>"]
+    ["candidate_id string", "lat double", "lon double", "landscape string", "sensitivity string", *[f"{e} variant" for e in scoring.EVIDENCE], "tags array<string>", "source_dates array<string>", "notes array<string>"]
 )
 
 
@@ -18,34 +18,53 @@ def read_candidates(spark: SparkSession, path: str, strict: bool = False) -> Dat
     whole = spark.read.text(path, wholetext=True)
     rows = whole.select(F.posexplode(F.from_json("value", f"array<struct<{_CANDIDATE.replace(' ', ': ').replace(',:', ',')}>>")).alias("seq", "c")).select("seq", "c.*")
     for name in scoring.EVIDENCE:
-        rows = rows.withColumn(name, scoring.evidence(F.col(name), 1.0 if name == "data_quality" else 0.0))
+        raw, boolean = F.try_variant_get(name, "$", "string"), F.schema_of_variant(name) == "BOOLEAN"
+        rows = rows.withColumn(name, scoring.evidence(raw, 1.0 if name == "data_quality" else 0.0, F.coalesce(boolean, F.lit(False))))
     empty = F.array().cast("array<string>")
     for name in ("tags", "source_dates", "notes"):
         rows = rows.withColumn(name, F.coalesce(name, empty))
     return rows.withColumn("landscape", scoring.normalize_landscape(F.col("landscape"))).withColumn("sensitivity", scoring.normalize_sensitivity(F.col("sensitivity"), strict))
 
 
+#: Coordinates of each geometry type as its JSON nests them; every place may carry an altitude.
+_NESTING = {"Point": 1, "MultiPoint": 2, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
+
+
+def parts(kind, coordinates):
+    """The parts of a geometry, arrays of places [x, y, ...]: rings of polygons, lines, or single points; null for other types."""
+    out = F.lit(None).cast("array<array<array<double>>>")
+    for name, depth in _NESTING.items():
+        nested = F.from_json(coordinates, "array<" * depth + "double" + ">" * depth)
+        lifted = {1: F.array(F.array(nested)), 2: F.array(nested), 3: nested, 4: F.flatten(nested) if depth == 4 else nested}[depth]
+        out = F.when(kind == name, lifted).otherwise(out)
+    return out
+
+
+def read_features(spark: SparkSession, path: str, name: str = "struct<name: string, title: string, category: string, kind: string>") -> DataFrame:
+    """Rows (idx, type, coordinates, p) of a GeoJSON file: a feature collection, one feature or a bare geometry; p has the properties."""
+    geometry = "struct<type: string, coordinates: string>"
+    schema = f"struct<type: string, coordinates: string, geometry: {geometry}, properties: {name}, features: array<struct<geometry: {geometry}, properties: {name}>>>"
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("j"))
+    bare = F.when(F.col("j.type") == "Feature", F.struct("j.geometry", "j.properties")).otherwise(F.struct(F.struct("j.type", "j.coordinates").alias("geometry"), "j.properties"))
+    features = F.when(F.col("j.features").isNotNull(), F.col("j.features")).when(F.col("j.type") != "FeatureCollection", F.array(bare))
+    return whole.select(F.posexplode(features).alias("idx", "f")).select("idx", "f.geometry.type", "f.geometry.coordinates", F.col("f.properties").alias("p"))
+
+
 def read_zones(spark: SparkSession, path: str) -> DataFrame:
-    """Zones (zone_ord, name, category, bounds, geometry as JSON, edges of polygons) of a GeoJSON feature collection; features without geometry are left out.
+    """Zones (zone_ord, name, category, bounds, geometry as JSON, edges of polygons) of a GeoJSON file; features without geometry are left out.
 
-    Names are taken over all features, so numbers of unnamed ones don't depend on what is left out.
+    Names are taken over all features, so numbers of unnamed ones don't depend on what is left out. Polygons have the edges
+    of all their rings; other types have none and stand for their box.
     """
-    schema = "struct<features: array<struct<geometry: struct<type: string, coordinates: string>, properties: struct<name: string, title: string, category: string, kind: string>>>>"
-    features = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", schema)["features"]).alias("zone_ord", "f"))
-    numbers = F.transform(F.regexp_extract_all("f.geometry.coordinates", F.lit(r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
-    flat = features.where("f.geometry is not null").withColumn("n", numbers)
-    lons, lats = F.filter("n", lambda x, i: i % 2 == 0), F.filter("n", lambda x, i: i % 2 == 1)
-    # Rings of a polygon or of several; other types have no edges and stand for their box.
-    kind = F.col("f.geometry.type")
-    rings = F.when(kind == "Polygon", F.from_json("f.geometry.coordinates", "array<array<array<double>>>")).when(
-        kind == "MultiPolygon", F.flatten(F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>"))
-    )
+    shaped = read_features(spark, path).withColumn("parts", parts(F.col("type"), F.col("coordinates"))).where("coordinates is not null")
+    places = F.flatten("parts")
+    xs, ys = F.transform(places, lambda q: q[0]), F.transform(places, lambda q: q[1])
     edge = lambda a, b: F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
     following = lambda r: F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1))
-    edges = F.flatten(F.transform(rings, lambda r: F.zip_with(r, following(r), edge)))
-    return flat.select(
-        "zone_ord", zone_name(F.coalesce("f.properties.name", "f.properties.title"), F.col("zone_ord")).alias("name"), F.coalesce("f.properties.category", "f.properties.kind").alias("category"),
-        F.array_min(lats).alias("min_lat"), F.array_max(lats).alias("max_lat"), F.array_min(lons).alias("min_lon"), F.array_max(lons).alias("max_lon"), F.col("f.geometry.coordinates").alias("coordinates"), edges.alias("edges"),
+    edges = F.when(F.col("type").isin("Polygon", "MultiPolygon"), F.flatten(F.transform("parts", lambda r: F.zip_with(r, following(r), edge))))
+    return shaped.select(
+        F.col("idx").alias("zone_ord"), zone_name(F.coalesce("p.name", "p.title"), F.col("idx")).alias("name"), F.coalesce("p.category", "p.kind").alias("category"),
+        F.array_min(ys).alias("min_lat"), F.array_max(ys).alias("max_lat"), F.array_min(xs).alias("min_lon"), F.array_max(xs).alias("max_lon"), "coordinates", edges.alias("edges"),
     )
 
 
