@@ -212,9 +212,9 @@ _MEMBERS = f"{_COMPONENTS}, {fx.SCORED.replace(fx.CANDIDATES, '').strip().lstrip
 
 
 @query("cluster_summary", f"""WITH RECURSIVE {_MEMBERS},
-agg AS (SELECT component, count(*) AS member_count, avg(adj) AS mean, max(adj) AS top, min_by(candidate_id, (-adj, seq)) AS top_candidate_id FROM mem GROUP BY 1),
+agg AS (SELECT component, count(*) AS member_count, sum(round(adj * 10000)::BIGINT) / (count(*) * 10000.0::DOUBLE) AS mean, max(adj) AS top, min_by(candidate_id, (-adj, seq)) AS top_candidate_id FROM mem GROUP BY 1),
 v AS (SELECT *, greatest(0, least(1, 0.65 * top + 0.25 * mean + 0.10 * greatest(0, least(1, (member_count - 1) / 4.0)))) AS s FROM agg)
-SELECT component, member_count, round(s::DECIMAL(20, 14), 4)::DOUBLE AS cluster_score, round(mean, 4) AS mean_adjusted_score, top_candidate_id FROM v""")
+SELECT component, member_count, round(s::DECIMAL(20, 10), 4)::DOUBLE AS cluster_score, round(mean::DECIMAL(20, 10), 4)::DOUBLE AS mean_adjusted_score, top_candidate_id FROM v""")
 def cluster_summary(spark, sf_dir):
     return cluster.summarize(_members(spark, sf_dir)).select("component", "member_count", "cluster_score", "mean_adjusted_score", "top_candidate_id")
 
