@@ -44,6 +44,47 @@ def utm_forward(lat: Column, lon: Column, zone: Column | None = None) -> tuple[C
     return F.lit(500000.0) + k * x, F.when(lat >= 0, 0.0).otherwise(1e7) + k * y
 
 
+#: Series back to conformal coordinates and from the conformal to the geographic latitude, orders 1 to 4.
+_BETA = (
+    _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360,
+    _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440,
+    17 * _N**3 / 480 - 37 * _N**4 / 840,
+    4397 * _N**4 / 161280,
+)
+_DELTA = (
+    2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45,
+    7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45,
+    56 * _N**3 / 15 - 136 * _N**4 / 35,
+    4279 * _N**4 / 630,
+)
+
+
+def utm_inverse(easting: Column, northing: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """(lat, lon) in degrees of a place in a UTM zone."""
+    k = 0.9996 * _RADIUS
+    eta = (easting - 500000.0) / k
+    xi = (northing - (1e7 if south else 0.0)) / k
+    x, y = xi, eta
+    for j, b in enumerate(_BETA, 1):
+        x = x - F.lit(b) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        y = y - F.lit(b) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    phi = chi
+    for j, d in enumerate(_DELTA, 1):
+        phi = phi + F.lit(d) * F.sin(2 * j * chi)
+    return F.degrees(phi), F.degrees(F.atan2(F.sinh(y), F.cos(x))) + (zone * 6 - 183)
+
+
+def project(lat: float, lon: float, zone: int) -> tuple[float, float]:
+    """utm_forward for a single place on the driver."""
+    phi, lam, s = math.radians(lat), math.radians(lon - (zone * 6 - 183)), math.sin(math.radians(lat))
+    t = math.sinh(math.atanh(s) - _E * math.atanh(_E * s))
+    xi, eta = math.atan2(t, math.cos(lam)), math.asinh(math.sin(lam) / math.hypot(t, math.cos(lam)))
+    x = eta + sum(a * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))
+    y = xi + sum(a * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))
+    return 500000 + 0.9996 * _RADIUS * x, (0 if lat >= 0 else 1e7) + 0.9996 * _RADIUS * y
+
+
 def snap_grid(minx: Column, miny: Column, maxx: Column, maxy: Column, resolution: float) -> tuple[Column, Column, Column, Column]:
     """(origin x, origin y, width, height) of the pixel grid that covers the bounds; the origin is the upper left."""
     r = F.lit(float(resolution))

@@ -11,6 +11,8 @@ from georank.shipping import ship
 
 def gaussian(a: np.ndarray, sigma: float) -> np.ndarray:
     """Separable Gaussian, mirrored edges, cut at four sigmas."""
+    if not a.size:
+        return a
     reach = int(4 * sigma + 0.5)
     x = np.arange(-reach, reach + 1)
     k = np.exp(-(x * x) / (2 * sigma * sigma))
@@ -97,16 +99,16 @@ def enclosure(m: np.ndarray) -> float:
     return float(np.clip(best, 0, 1))
 
 
-def distance(seeds: np.ndarray) -> np.ndarray:
-    """Euclidean distance to the nearest seed cell, infinite without any; exact, one axis after the other."""
+def distance(seeds: np.ndarray, dx: float = 1.0, dy: float = 1.0) -> np.ndarray:
+    """Euclidean distance to the nearest seed cell, infinite without any; exact, one axis after the other. Cells are dx wide and dy high."""
     big = float("inf")
     n, m = seeds.shape
     along = np.where(seeds, 0.0, big)
     for r in range(1, n):
-        along[r] = np.minimum(along[r], along[r - 1] + 1)
+        along[r] = np.minimum(along[r], along[r - 1] + dy)
     for r in range(n - 2, -1, -1):
-        along[r] = np.minimum(along[r], along[r + 1] + 1)
-    gap = (np.arange(m)[:, None] - np.arange(m)[None, :]) ** 2
+        along[r] = np.minimum(along[r], along[r + 1] + dy)
+    gap = ((np.arange(m)[:, None] - np.arange(m)[None, :]) * dx) ** 2
     return np.sqrt(np.stack([(row[None, :] ** 2 + gap).min(axis=1) for row in along]))
 
 
@@ -132,6 +134,8 @@ def line_strength(a: np.ndarray, sigma: float = 1.2) -> float:
 
     Deterministic, unlike a sampled Hough transform; 0 below ten edge cells.
     """
+    if min(a.shape) < 2:
+        return 0.0
     s = gaussian(fill_median(a), sigma)
     g = np.hypot(*np.gradient(s))
     edges = g > max(np.quantile(g, 0.9), 1e-9)
@@ -171,6 +175,123 @@ def robust_strength(a: np.ndarray, z_cap: float = 6.0) -> float:
     return float(np.clip(np.percentile(np.abs(v - med) / scale, 95) / z_cap, 0, 1))
 
 
+def valid_fraction(a: np.ndarray) -> float:
+    """Share of a window's cells with a value; 0 for an empty one."""
+    return float(np.isfinite(a).mean()) if a.size else 0.0
+
+
+def normalize(a: np.ndarray, least: int = 20, fill: bool = True) -> np.ndarray:
+    """Values from p5..p95 to 0..1; zeros below ``least`` values. Missing cells get the median's value, or stay missing without fill."""
+    ok = np.isfinite(a)
+    if ok.sum() < least:
+        return np.zeros(a.shape) if fill else np.where(ok, 0.0, np.nan)
+    low, high, middle = np.percentile(a[ok], [5, 95, 50])
+    if high - low < 1e-9:
+        return np.zeros(a.shape) if fill else np.where(ok, 0.0, np.nan)
+    return np.clip((np.where(ok, a, middle if fill else np.nan) - low) / (high - low), 0, 1)
+
+
+def mean_probability(a: np.ndarray) -> float | None:
+    """Mean of a window: clipped to 0..1 where all values are near that range, else of the p5..p95 stretch; null below 10 values."""
+    v = a[np.isfinite(a)]
+    if len(v) < 10:
+        return None
+    if v.min() >= -0.05 and v.max() <= 1.05:
+        return float(np.clip(v, 0, 1).mean())
+    low, high = np.percentile(v, [5, 95])
+    return float(np.clip((v - low) / (high - low), 0, 1).mean()) if high - low > 1e-9 else 0.0
+
+
+def common_shape(arrays: list[np.ndarray]) -> tuple[int, int]:
+    """Least rows and columns of the windows that aren't empty."""
+    full = [a.shape for a in arrays if a.size]
+    return (min(s[0] for s in full), min(s[1] for s in full)) if full else (0, 0)
+
+
+def anomaly_mask(a: np.ndarray, sigma: float, z: float) -> np.ndarray:
+    """Cells whose residual is at least z scales from the median, opened and closed; missing ones are out."""
+    r = residual(a, sigma)
+    v = r[np.isfinite(r)]
+    if len(v) < 20:
+        return np.zeros(a.shape, bool)
+    middle = np.median(v)
+    mad = np.median(np.abs(v - middle))
+    scale = max(1.4826 * mad if mad > 1e-6 else v.std() + 1e-6, 1e-6)
+    return clean_mask((np.abs(np.where(np.isfinite(r), r, middle) - middle) / scale >= z) & np.isfinite(r))
+
+
+def persistence(stack: list[np.ndarray], sigma: float, z: float) -> float:
+    """p90, over cells that are ever anomalous, of the share of dates on which they are; 0 below two dates."""
+    shape = common_shape(stack)
+    full = [a for a in stack if a.size]
+    if len(full) < 2 or min(shape) < 2:
+        return 0.0
+    share = np.mean([resize(anomaly_mask(a, sigma, z).astype(float), shape, 0) >= 0.5 for a in full], axis=0)
+    return float(np.clip(np.percentile(share[share > 0], 90), 0, 1)) if (share > 0).any() else 0.0
+
+
+def series_surface(stack: list[np.ndarray], sigma: float, shape: tuple[int, int]) -> np.ndarray:
+    """Mean over dates of the strength of their residuals, stretched to 0..1, on one shape."""
+    return np.mean([resize(normalize(np.abs(residual(a, sigma))), shape) for a in stack if a.size], axis=0)
+
+
+def current_surface(optical: list[np.ndarray], sar: list[np.ndarray], dem: np.ndarray, sigma: float, dem_sigma: float) -> np.ndarray:
+    """Mean of the optical, radar and elevation surfaces on their common shape; a single 0 without any."""
+    shape = common_shape([*optical, *sar, dem])
+    if min(shape) < 2:
+        return np.zeros((1, 1))
+    parts = [series_surface(s, g, shape) for s, g in ((optical, sigma), (sar, sigma), ([dem], dem_sigma)) if any(a.size for a in s)]
+    return np.mean(parts, axis=0)
+
+
+def surface_mask(a: np.ndarray, quantile: float) -> np.ndarray:
+    """Cells at or above the quantile (limited to .5 to .99), opened and closed; none below 20 values."""
+    ok = np.isfinite(a)
+    if ok.sum() < 20:
+        return np.zeros(a.shape, bool)
+    return clean_mask(np.where(ok, a, -np.inf) >= np.quantile(a[ok], np.clip(quantile, 0.5, 0.99)))
+
+
+def historical_match(mask: np.ndarray, history: list[np.ndarray], sigma: float, quantile: float) -> float:
+    """Twice the intersection over union of the current mask and that of the historical surface, at most 1; 0 below ten cells."""
+    if mask.sum() < 10 or not any(a.size for a in history):
+        return 0.0
+    then = surface_mask(series_surface(history, sigma, mask.shape), quantile)
+    either = (mask | then).sum()
+    return float(min(2 * (mask & then).sum() / either, 1.0)) if either else 0.0
+
+
+def laplace(a: np.ndarray, sigma: float) -> np.ndarray:
+    """Laplacian of the Gaussian: second differences of the smoothed values, mirrored edges."""
+    p = np.pad(gaussian(a, sigma), 1, mode="symmetric")
+    return p[2:, 1:-1] + p[:-2, 1:-1] + p[1:-1, 2:] + p[1:-1, :-2] - 4 * p[1:-1, 1:-1]
+
+
+def gradient_magnitude(a: np.ndarray, sigma: float) -> np.ndarray:
+    p = np.pad(gaussian(a, sigma), 1, mode="symmetric")
+    return np.hypot(p[2:, 1:-1] - p[:-2, 1:-1], p[1:-1, 2:] - p[1:-1, :-2]) / 2
+
+
+def local_variance(a: np.ndarray, sigma: float) -> np.ndarray:
+    return np.clip(gaussian(a * a, sigma) - gaussian(a, sigma) ** 2, 0, None)
+
+
+def line_cells(a: np.ndarray, sigma: float, least: int) -> np.ndarray:
+    """Edge cells on a straight line of at least ``least`` edge cells, by a full Hough vote; 1 and 0."""
+    g = gradient_magnitude(a, sigma)
+    edges = g > max(np.quantile(g, 0.9), 1e-9)
+    rows, cols = np.nonzero(edges)
+    out = np.zeros(a.shape)
+    angles = np.deg2rad(np.arange(0, 180, 3))
+    size = int(np.hypot(*a.shape)) + 1
+    rho = np.round(rows[:, None] * np.sin(angles) + cols[:, None] * np.cos(angles)).astype(int) + size
+    votes = np.zeros((2 * size + 1, len(angles)), int)
+    np.add.at(votes, (rho, np.broadcast_to(np.arange(len(angles)), rho.shape)), 1)
+    on = (votes[rho, np.arange(len(angles))] >= least).any(axis=1)
+    out[rows[on], cols[on]] = 1.0
+    return out
+
+
 FEATURES = "zone bigint, anomaly double, enclosure double, linearity double, microrelief double, ruggedness double, slope_median double, slope_p90 double"
 
 

@@ -45,11 +45,14 @@ def lattice(spark: SparkSession, minx: float, miny: float, maxx: float, maxy: fl
     return cells.select(ix.alias("ix"), iy.alias("iy"), (F.lit(float(minx)) + ix * step).alias("x0"), (F.lit(float(miny)) + iy * step).alias("y0"))
 
 
-def tile_aoi(spark: SparkSession, ring: Ring, size: float, step: float | None = None, min_coverage: float = 0.2) -> DataFrame:
-    """Tiles over a ring in metres: tile_id, x0, y0, size, coverage. Ids number the kept tiles, x outer, y inner."""
-    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+def tile_aoi(spark: SparkSession, ring: Ring, size: float, step: float | None = None, min_coverage: float = 0.2, more: tuple[Ring, ...] = (), holes: tuple[Ring, ...] = ()) -> DataFrame:
+    """Tiles over a ring in metres: tile_id, x0, y0, size, coverage. Ids number the kept tiles, x outer, y inner.
+
+    more are further rings of the area, holes those that are cut out of it; rings of a kind don't overlap.
+    """
+    xs, ys = ([p[i] for r in (ring, *more) for p in r] for i in (0, 1))
     grid = lattice(spark, min(xs), min(ys), max(xs), max(ys), size, step)
-    rectangle = len(ring) == 4 and len(set(xs)) == 2 and len(set(ys)) == 2
+    rectangle = not more and not holes and len(ring) == 4 and len(set(xs)) == 2 and len(set(ys)) == 2
     if rectangle:
         coverage = rect_coverage(F.col("x0"), F.col("y0"), size, min(xs), min(ys), max(xs), max(ys))
     else:
@@ -57,7 +60,7 @@ def tile_aoi(spark: SparkSession, ring: Ring, size: float, step: float | None =
 
         @F.pandas_udf("double")
         def share(x0: pd.Series, y0: pd.Series) -> pd.Series:
-            return pd.Series([clip_area(ring, a, b, size) / max(size * size, 1.0) for a, b in zip(x0, y0)], dtype=float)
+            return pd.Series([(sum(clip_area(r, a, b, size) for r in (ring, *more)) - sum(clip_area(r, a, b, size) for r in holes)) / max(size * size, 1.0) for a, b in zip(x0, y0)], dtype=float)
 
         coverage = share.asNondeterministic()("x0", "y0")  # so that the filter doesn't run it a second time
     kept = grid.withColumn("coverage", coverage).where(F.col("coverage") >= min_coverage)

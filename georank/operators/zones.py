@@ -33,21 +33,23 @@ def with_cells(zones: DataFrame, cell: float) -> DataFrame:
     return zones.withColumn("cell_y", span("min_lat", "max_lat")).withColumn("cell_x", span("min_lon", "max_lon"))
 
 
-def tag(df: DataFrame, zones: DataFrame, half: float = 0.0, cell: float = CELL) -> DataFrame:
-    """df with zone_names (in zone order), sensitivity from them and tags; a row's box reaches ``half`` degrees around it.
+def tag(df: DataFrame, zones: DataFrame, half=0.0, cell: float = CELL, half_lon=None) -> DataFrame:
+    """df with zone_names (in zone order), sensitivity from them and tags; a row's box reaches ``half`` degrees around it
+    (numbers or names of columns; half_lon where the sides differ).
 
     Touching counts. Rows and zones meet by grid cell; a box wider than a cell meets each of its cells.
     """
-    boxes = df.select(
-        "seq", "lat", "lon",
-        F.explode(F.sequence(F.floor((F.col("lat") - half) / cell), F.floor((F.col("lat") + half) / cell))).alias("cell_y"),
-    ).withColumn("cell_x", F.explode(F.sequence(F.floor((F.col("lon") - half) / cell), F.floor((F.col("lon") + half) / cell))))
-    z = with_cells(zones, cell)
+    reach = lambda h: F.col(h) if isinstance(h, str) else F.lit(float(h))
+    dy, dx = reach(half), reach(half if half_lon is None else half_lon)
     lat, lon = F.col("lat"), F.col("lon")
-    shaped = F.col("edges").isNull() | edges_meet_box(lon - half, lat - half, lon + half, lat + half, F.col("edges")) if "edges" in zones.columns else F.lit(True)
+    span = lambda at, d: F.explode(F.sequence(F.floor((at - d) / cell), F.floor((at + d) / cell)))
+    own = [c for c in (half, half_lon) if isinstance(c, str)]
+    boxes = df.select("seq", "lat", "lon", *own, span(lat, dy).alias("cell_y")).withColumn("cell_x", span(lon, dx))
+    z = with_cells(zones, cell)
+    shaped = F.col("edges").isNull() | edges_meet_box(lon - dx, lat - dy, lon + dx, lat + dy, F.col("edges")) if "edges" in zones.columns else F.lit(True)
     hit = (
         boxes.join(z, ["cell_x", "cell_y"])
-        .where((F.col("lat") + half >= F.col("min_lat")) & (F.col("lat") - half <= F.col("max_lat")) & (F.col("lon") + half >= F.col("min_lon")) & (F.col("lon") - half <= F.col("max_lon")))
+        .where((lat + dy >= F.col("min_lat")) & (lat - dy <= F.col("max_lat")) & (lon + dx >= F.col("min_lon")) & (lon - dx <= F.col("max_lon")))
         .where(shaped)
         .select("seq", F.struct("zone_ord", "name").alias("z")).distinct()
     )

@@ -34,6 +34,31 @@ class Analysis:
     cluster_min_members: int = 1
 
 
+@dataclass(frozen=True)
+class FeatureEngine:
+    anomaly_sigma_px: float = 2.0
+    dem_sigma_px: float = 3.0
+    anomaly_z_cap: float = 6.0
+    temporal_anomaly_z: float = 2.5
+    edge_sigma: float = 1.2
+    mask_quantile: float = 0.85
+
+
+@dataclass(frozen=True)
+class ContextLayers:
+    relief_sigma_px: float = 8.0
+    curvature_sigma_px: float = 3.0
+    valley_sigma_px: float = 14.0
+    water_seed_quantile: float = 0.9
+    water_distance_scale_m: float = 1200.0
+    forest_threshold: float = 0.55
+    forest_smoothing_sigma_px: float = 1.2
+    disturbance_sigma_px: float = 1.4
+    disturbance_variance_sigma_px: float = 3.0
+    disturbance_canny_sigma: float = 1.0
+    disturbance_line_sigma_px: float = 2.0
+
+
 @dataclass(frozen=True)
 class Guardrails:
     public_blur_m: float = 5000.0
@@ -48,11 +73,13 @@ class Settings:
     scoring: Scoring = field(default_factory=Scoring)
     analysis: Analysis = field(default_factory=Analysis)
     guardrails: Guardrails = field(default_factory=Guardrails)
+    feature_engine: FeatureEngine = field(default_factory=FeatureEngine)
+    context_layers: ContextLayers = field(default_factory=ContextLayers)
     weights: dict[str, tuple[float, ...]] = field(default_factory=lambda: dict(WEIGHTS))
 
 
 def load_settings(path: str | None = None) -> Settings:
-    """Settings from a TOML file with tables scoring, analysis, guardrails and landscape_weights; defaults without one.
+    """Settings from a TOML file with tables scoring, analysis, guardrails, feature_engine, context_layers and landscape_weights; defaults without one.
 
     An unknown key or a weight table without all eight weights raises.
     """
@@ -60,8 +87,10 @@ def load_settings(path: str | None = None) -> Settings:
         return Settings()
     with open(path, "rb") as f:
         raw = tomllib.load(f)
+    if extra := set(raw) - {f.name for f in fields(Settings)} - {"landscape_weights"}:
+        raise TypeError(f"unknown tables: {sorted(extra)}")
     parts = {}
-    for name, kind in (("scoring", Scoring), ("analysis", Analysis), ("guardrails", Guardrails)):
+    for name, kind in (("scoring", Scoring), ("analysis", Analysis), ("guardrails", Guardrails), ("feature_engine", FeatureEngine), ("context_layers", ContextLayers)):
         known = {x.name for x in fields(kind)}
         given = raw.get(name, {})
         if extra := set(given) - known:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,55 @@ def read_candidates(spark: SparkSession, path: str, strict: bool = False) -> Dat
     return rows.withColumn("landscape", scoring.normalize_landscape(F.col("landscape"))).withColumn("sensitivity", scoring.normalize_sensitivity(F.col("sensitivity"), strict))
 
 
+@dataclass(frozen=True)
+class Area:
+    """An area of interest: outer rings and holes as (lon, lat) corners without the closing one."""
+
+    rings: list[list[tuple[float, float]]]
+    holes: list[list[tuple[float, float]]]
+
+    def centre(self) -> tuple[float, float]:
+        """(lat, lon) of the centroid; holes don't count."""
+        total = x = y = 0.0
+        for r in self.rings:
+            signed = 0.0
+            for (a, b), (c, d) in zip(r, r[1:] + r[:1]):
+                cross = (a - r[0][0]) * (d - r[0][1]) - (c - r[0][0]) * (b - r[0][1])
+                signed += cross
+                x += cross * ((a - r[0][0]) + (c - r[0][0])) / 3 + 0.0
+                y += cross * ((b - r[0][1]) + (d - r[0][1])) / 3
+            x += signed * r[0][0]
+            y += signed * r[0][1]
+            total += signed
+        return y / total, x / total
+
+    def utm(self) -> tuple[int, bool]:
+        """(zone, south) of the centroid."""
+        lat, lon = self.centre()
+        return min(int((lon + 180) // 6) + 1, 60), lat < 0
+
+
+def area_of_box(west: float, south: float, east: float, north: float) -> Area:
+    return Area([[(west, south), (east, south), (east, north), (west, north)]], [])
+
+
+def read_area(spark: SparkSession, path: str) -> Area:
+    """The polygons of a GeoJSON file, a collection, one feature or a bare geometry; without any a ValueError."""
+    rings, holes = [], []
+    for r in read_features(spark, path).where(F.col("type").isin("Polygon", "MultiPolygon")).orderBy("idx").collect():
+        shape = json.loads(r["coordinates"])
+        for polygon in [shape] if r["type"] == "Polygon" else shape:
+            for i, ring in enumerate(polygon):
+                corners = [(float(p[0]), float(p[1])) for p in ring]
+                corners = corners[:-1] if len(corners) > 1 and corners[0] == corners[-1] else corners
+                if (sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(corners, corners[1:] + corners[:1])) < 0) != (i > 0):
+                    corners.reverse()  # outer rings turn left, holes right
+                (holes if i else rings).append(corners)
+    if not rings:
+        raise ValueError(f"no polygon in {path}")
+    return Area(rings, holes)
+
+
 #: Coordinates of each geometry type as its JSON nests them; every place may carry an altitude.
 _NESTING = {"Point": 1, "MultiPoint": 2, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
 
