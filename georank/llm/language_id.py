@@ -18,33 +18,43 @@ UND = "und"
 PROFILE, MAX_N, FIT_DOCS = 300, 3, 2000
 #: A document whose best score is not above this is rejected by keep_known(): it shares next to nothing with any language.
 MIN_SCORE = 0.02
-#: Letters of a text held at once while its n-grams are counted.
+#: Characters of a text whose n-grams are counted at once.
 CHUNK = 1 << 20
 
 _BITS = 21  # of a code point
 
 
 def letters(text: str) -> np.ndarray:
-    """Code points of the lower-cased text, each run of other characters than letters as one 0, one 0 at either end."""
+    """Code points of the lower-cased text, each run of other characters than letters as one 0, one 0 at either end.
+
+    Four bytes a letter; what else is held is bounded by CHUNK.
+    """
     low = text.lower()
-    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    kinds, back = np.unique(points, return_inverse=True)
-    alpha = np.array([chr(c).isalpha() for c in kinds.tolist()], bool)
-    points = np.concatenate([[0], np.where(alpha[back], points, 0), [0]])
-    return points[np.concatenate([[True], (points[1:] != 0) | (points[:-1] != 0)])]
+    out, last = [np.zeros(1, np.int32)], 0
+    for a in range(0, len(low), CHUNK):
+        points = np.frombuffer(low[a : a + CHUNK].encode("utf-32-le", "surrogatepass"), "<i4")
+        kinds, back = np.unique(points, return_inverse=True)
+        alpha = np.array([chr(c).isalpha() for c in kinds.tolist()], bool)
+        points = np.where(alpha[back], points, 0).astype(np.int32)
+        before = np.concatenate([[last], points[:-1]])
+        last = int(points[-1])
+        out.append(points[(points != 0) | (before != 0)])
+    if last:
+        out.append(np.zeros(1, np.int32))
+    return np.concatenate(out)
 
 
 def ngram_counts(text: str | None, max_n: int = MAX_N) -> tuple[np.ndarray, np.ndarray]:
     """(codes, counts) of a text's n-grams of 1 to max_n signs with a letter among them; empty without letters.
 
-    An n-gram's code has 21 bits a sign, 1 between words and a letter's code point plus 1. Texts of any length are counted in bounded pieces.
+    An n-gram's code has 21 bits a sign, 1 between words and a letter's code point plus 1. Beside the letters, a piece of CHUNK signs and the distinct n-grams are held.
     """
     codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
     signs = letters(text or "")
     if not signs.any():
         return codes, counts
     for a in range(0, len(signs), CHUNK):
-        part = signs[a : a + CHUNK + max_n - 1]
+        part = signs[a : a + CHUNK + max_n - 1].astype(np.int64)
         grams = []
         code, lettered = np.zeros(len(part), np.int64), np.zeros(len(part), bool)
         for n in range(1, min(max_n, len(part)) + 1):

@@ -120,6 +120,62 @@ def test_ngram_counts_in_pieces(monkeypatch):
     assert sorted(grams.values()) == sorted(want[1].tolist())
 
 
+def _plain_grams(text):
+    signs = [0]
+    for c in (text or "").lower():
+        if c.isalpha() or signs[-1]:
+            signs.append(ord(c) if c.isalpha() else 0)
+    signs += [0] if signs[-1] else []
+    grams = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(signs) - n + 1):
+            g = signs[i : i + n]
+            if any(g):
+                grams[sum((s + 1) << 21 * (n - 1 - k) for k, s in enumerate(g))] += 1
+    return grams
+
+
+def _plain_language(text, profiles, size=300):
+    grams = [g for g, _ in sorted(_plain_grams(text).items(), key=lambda x: (-x[1], x[0]))[:size]]
+    if not grams or not profiles:
+        return "und", 0.0
+    far = {name: sum(abs(p.index(g) - i) if g in p else size for i, g in enumerate(grams)) for name, p in profiles.items()}
+    best = min(far, key=lambda name: (far[name], name))
+    return best, 1 - far[best] / (size * len(grams))
+
+
+def _plain_profiles(rows, size=300):
+    """From (text, lang) rows."""
+    counts = defaultdict(Counter)
+    for text, lang in rows:
+        if lang is not None and text is not None:
+            counts[lang].update(_plain_grams(text))
+    return {lang: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:size]] for lang, c in counts.items() if c}
+
+
+def test_language_id_by_brute_force(spark, odd):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    held = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    want = _plain_profiles([(t, lang) for d, t, lang in rows if not held(d)])
+    got = {r["doc_id"]: r for r in QUERIES["op2_language_id"](spark, DATA).collect()}
+    for d, t, _ in rows:
+        lang, score = _plain_language(t, want)
+        assert (got[d]["lang_pred"], got[d]["held_out"]) == (lang, held(d)) and got[d]["score"] == pytest.approx(score)
+    # equal profiles tie: the first name; a text beyond CHUNK; a language without letters teaches nothing
+    tied = spark.createDataFrame([(1, "aaa bbb", "y"), (2, "aaa bbb", "x"), (3, "12", "w"), (4, "bbb " * 5, None)], "doc_id long, text string, lang string")
+    profiles = language_id.learn(tied)
+    assert {r["lang_pred"] for r in language_id.identify(tied.where("doc_id <> 3"), profiles).collect()} == {"x"}
+
+
+def test_letters_of_a_long_text(monkeypatch):
+    text = "Zwei Ärzte -- 12 größere, Σίσυφος? " * 40
+    whole = language_id.letters(text).tolist()
+    monkeypatch.setattr(language_id, "CHUNK", 7)
+    assert language_id.letters(text).tolist() == whole and whole[0] == whole[-1] == 0 and 0 not in [a + b for a, b in zip(whole, whole[1:])]
+    assert language_id.letters("").tolist() == [0] and language_id.letters("--").tolist() == [0]
+
+
 def test_toxicity(spark, odd, none):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
@@ -651,6 +707,72 @@ def test_packed_numbers():
         assert language_model._unpack(language_model._pack(a), len(a)).tolist() == numbers
 
 
+def _plain_rates(rows):
+    """Rate by source of (source, size) rows: weights 5, 2, 1 in turn, targets up to 3 times a source's size, the rest shared again."""
+    size = Counter()
+    for s, n in rows:
+        size[s] += n
+    order = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    free, target, left = set(order), {}, sum(size.values())
+    while True:
+        share = left / sum(weight[s] for s in free) if free else 0
+        over = {s for s in free if weight[s] * share > 3 * size[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 3 * size[s]
+            left -= target[s]
+        free -= over
+    target |= {s: weight[s] * share for s in free}
+    return {s: min(target[s] / size[s], 3.0) if size[s] else 0.0 for s in order}
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """run() against the five stages in plain Python, with nulls, empty texts, repeated rows, near copies and an extra column."""
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source").orderBy("doc_id").collect()][:110]
+    rng = np.random.default_rng(5)
+    long = [r for r in rows if r[1] and 100 < len(r[1].split()) < 800]
+    for i, r in enumerate(long[:10]):  # near copies, exact copies under another id, repeated rows
+        words = r[1].split(" ")
+        words[int(rng.integers(0, len(words)))] = "changed"
+        rows += [(10_000 + i, " ".join(words), r[2], r[3]), (20_000 + i, r[1], r[2], r[3]), r]
+    rows += [(30_000, None, "en", "s"), (30_001, "", None, None), (30_002, "12 34 --", "en", "s"), (None, long[0][1] + " and more of the kind here", "en", None)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, uid long"
+    spark.createDataFrame([(*r, 0, i) for i, r in enumerate(rows)], columns).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [tuple(r)[:4] for r in spark.read.parquet(str(tmp_path / "documents.parquet")).orderBy("uid").collect()]
+
+    profiles = _plain_profiles([(t, lang) for d, t, lang, _ in rows if zlib.crc32(str("" if d is None else d).encode()) % 4 != 2])
+    known = [r for r in rows if (lambda lang, score: lang != "und" and score > 0.02)(*_plain_language(r[1], profiles))]
+    lined = [(d, text, lang, s) for (d, _, lang, s), (_, text, gone) in zip(known, _plain_line_dedup(known, 8)) if not gone or text.split()]
+    unique = [lined[i] for i in _plain_keep_first(lined)]
+    rates = _plain_rates([(s, len(t.split())) for _, t, _, s in unique])
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    want = []
+    for d, t, _, s in unique:
+        u = int(__import__("hashlib").md5(f"7:{'' if d is None else d}".encode()).hexdigest()[:13], 16) / 2**52
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        for _ in range(int(rates[s]) + (u < rates[s] - int(rates[s]))):
+            want += [(d, k, k * 4096, np.array(ids[k * 4096 : (k + 1) * 4096], "<u4").tobytes()) for k in range(-(-len(ids) // 4096))]
+    packed = p.run(spark, str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["piece"], r["start"], bytes(r["ids"])) for r in packed), key=repr) == sorted(want, key=repr)
+    assert len(unique) < len(lined) < len(known) + 1 < len(rows)
+    bins = defaultdict(list)
+    for r in packed:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all([a for a, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:i]) for i in range(len(b))] and sum(n for _, n in b) <= 4096 for b in bins.values())
+
+
+def test_pipeline_of_an_empty_table(spark, none, tmp_path):
+    import corpus_pipeline as p
+
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
