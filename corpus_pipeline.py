@@ -54,7 +54,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Profiles, XXH64 fingerprints and tokens have no SQL; the test compares run() with its stages called one by one, no brute force.
+#: Profiles, XXH64 fingerprints and tokens have no SQL; tests hold run() against a plain version of the five stages on a small table.
 ORACLE_SQL = None
 
 
