@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import json
+from dataclasses import asdict, dataclass, replace
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from georank.functions import geo
-from georank.operators import cluster, context, rank, tiles, zones
+from georank.operators import cluster, context, ingest, rank, redzones, tiles, zones
+from georank.operators.select_items import select_series
 from georank.operators.tile_features import tile_features, with_corners
+from georank.recipe import SERIES as RECIPE_SERIES
+from georank.recipe import Recipe
 from georank.settings import Settings
 from georank.sources import pack as packs
-from georank.sources.readers import Area
+from georank.sources.readers import Area, read_features
 
 
 @dataclass(frozen=True)
@@ -93,6 +98,50 @@ def build_context(spark: SparkSession, pack: str, settings: Settings | None = No
     return {"created": created, "reused": reused}
 
 
+def select_scenes(items: DataFrame, recipe: Recipe, area: Area | None = None) -> list[dict]:
+    """The selection manifest's items by series, each series in its order; at most max_items of each reach the driver."""
+    corners = [p for r in area.rings for p in r] if area else []
+    box = (min(p[0] for p in corners), min(p[1] for p in corners), max(p[0] for p in corners), max(p[1] for p in corners)) if corners else None
+    out = []
+    for name in RECIPE_SERIES:
+        series = recipe.series[name]
+        if series.enabled:
+            for r in select_series(items, name, series, box).collect():
+                out.append({
+                    "series": name, "item_id": r["item_id"], "collection": r["collection"], "datetime": r["datetime"], "bbox": r["bbox"], "properties": json.loads(r["properties"] or "{}"),
+                    "found": {f["group"]: f["href"] for f in r["found"]}, "keys": {f["group"]: f["key"] for f in r["found"]},
+                })
+    return out
+
+
+def prepare_pack(spark: SparkSession, area: Area, recipe: Recipe, selected: list[dict], scenes: str, pack: str) -> dict:
+    """A pack from selected items whose assets are rasters (labels) of the block table at ``scenes``; its manifest."""
+    wanted = [h for i in selected for h in i["found"].values()]
+    blocks = packs.read_blocks(spark, scenes).where(F.col("label").isin(wanted) if wanted else F.lit(False))
+    layers = packs.scene_catalog(blocks)
+    made = ingest.prepare(spark, selected, blocks, layers, area, recipe)
+    packs.write_blocks(made, pack)
+    grid, height, width = ingest.target_grid(area, recipe.target.resolution_m)
+    listed = {k: sorted(x[1] for x in packs.catalog(spark, pack) if x[0] == k) for k in (*packs.SERIES, "dem", "quality")}
+    return packs.manifest(spark, pack, target_grid=asdict(grid) | {"height": height, "width": width}, selection=[{k: i[k] for k in ("series", "item_id")} for i in selected], **listed)
+
+
+def import_red_zones(spark: SparkSession, source: str, target: str, options: redzones.Options | None = None, summary: str | None = None) -> dict:
+    """Normalize a GeoJSON file of zones into another on the driver's disk; counts of the run. Nothing left raises ValueError."""
+    options = options or redzones.Options()
+    features = read_features(spark, source, "map<string, string>")
+    kept, dissolved = redzones.import_zones(features, options)
+    kept, dissolved = _kept(kept), _kept(dissolved)
+    rows = [json.loads(r["feature"]) for r in redzones.zone_features(dissolved).orderBy("first_idx").collect()]
+    if not rows:
+        raise ValueError(f"no zone of {source} is left")
+    counts = {"input_features": features.count(), "kept_features": kept.count(), "output_features": len(rows), "options": asdict(options), "output": target}
+    Path(target).write_text(json.dumps({"type": "FeatureCollection", "features": rows}, indent=2, ensure_ascii=False), encoding="utf-8")
+    if summary:
+        Path(summary).write_text(json.dumps(counts, indent=2, ensure_ascii=False), encoding="utf-8")
+    return counts
+
+
 def demo(spark: SparkSession, folder: str, mode: str = "public", settings: Settings | None = None) -> dict[str, str]:
     """The demo pack under a folder, analyzed with its red zone; paths of the eight artefacts."""
     from georank.sinks.writers import write_analysis

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,6 +77,19 @@ def utm_inverse(easting: Column, northing: Column, zone: int, south: bool = Fals
     return F.degrees(phi), F.degrees(F.atan2(F.sinh(y), F.cos(x))) + (zone * 6 - 183)
 
 
+def inverse_arrays(x: np.ndarray, y: np.ndarray, zone: int, south: bool) -> tuple[np.ndarray, np.ndarray]:
+    """utm_inverse for arrays."""
+    k = 0.9996 * _RADIUS
+    eta, xi = (x - 500000.0) / k, (y - (1e7 if south else 0.0)) / k
+    n, e = xi.copy(), eta.copy()
+    for j, b in enumerate(_BETA, 1):
+        n -= b * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+        e -= b * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+    chi = np.arcsin(np.sin(n) / np.cosh(e))
+    phi = chi + sum(d * np.sin(2 * j * chi) for j, d in enumerate(_DELTA, 1))
+    return np.degrees(phi), np.degrees(np.arctan2(np.sinh(e), np.cos(n))) + (zone * 6 - 183)
+
+
 def project(lat: float, lon: float, zone: int) -> tuple[float, float]:
     """utm_forward for a single place on the driver."""
     phi, lam, s = math.radians(lat), math.radians(lon - (zone * 6 - 183)), math.sin(math.radians(lat))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from georank.functions.text import alias_key
+from georank.functions.text import alias_key, property_kind, property_value, rule
 from georank.operators.cluster import per_group_top
+from georank.recipe import Series
 
 
 def find_asset(assets: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
@@ -48,6 +49,49 @@ def pick(items: DataFrame, series: str, sort: Column, descending: bool, seq: str
     return per_group_top(items, series, [key, F.col(seq)], k)
 
 
+def _property(name: str, kind: str) -> Column:
+    """A property of an item, the item's own time for datetime."""
+    if name == "datetime":
+        return F.col("datetime") if kind == "string" else F.lit(None).cast(kind)
+    return property_value(F.col("properties"), name, kind)
+
+
+def select_series(items: DataFrame, name: str, series: Series, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """A series' items with found (group, key, href): those of its collection, time and box that meet its rules and have all asset groups.
+
+    At most max_items in its order: by time or a property, numbers as numbers, missing last ascending and first
+    descending, ties in catalog order. A disabled series has none. datetime is a time, or start/end with .. for open.
+    """
+    rows = items.where(F.lit(series.enabled) & (F.col("collection") == series.collection))
+    if series.datetime:
+        start, _, stop = series.datetime.partition("/")
+        at = F.try_to_timestamp("datetime")
+        for bound, test in ((start, lambda b: at >= b), (stop or start, lambda b: at <= b)):
+            if bound not in ("", ".."):
+                rows = rows.where(F.coalesce(test(F.try_to_timestamp(F.lit(bound))), F.lit(False)))
+    if box is not None:
+        west, south, east, north = box
+        rows = rows.where(F.coalesce((F.get("bbox", F.lit(0)) <= east) & (F.get("bbox", F.lit(2)) >= west) & (F.get("bbox", F.lit(1)) <= north) & (F.get("bbox", F.lit(3)) >= south), F.lit(True)))
+    for r in series.filters:
+        rows = rows.where(rule(_property(r.property, "string"), _property(r.property, "double"), r.eq, r.ne, r.lte, r.gte, r.contains, property_kind(F.col("properties"), r.property)))
+    assets = rows.select("item_id", F.explode("assets").alias("a")).select("item_id", "a.*")
+    groups = series.asset_groups
+    if groups:
+        found = find_asset(assets, groups)
+        held = found.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("group", "key", "href"))).alias("found")).where(F.size("found") == len(groups))
+        rows = rows.join(held, "item_id")
+    else:
+        rows = rows.withColumn("found", F.array().cast("array<struct<group: string, key: string, href: string>>"))
+    if series.sort_by == "datetime":
+        key = F.struct(F.try_to_timestamp("datetime").alias("a"), F.lit(None).cast("string").alias("b"))
+        missing = F.try_to_timestamp("datetime").isNull()
+    else:
+        number, text = _property(series.sort_by, "double"), _property(series.sort_by, "string")
+        key, missing = F.struct(number.alias("a"), text.alias("b")), text.isNull()
+    ordered = [missing.asc(), key.asc()] if series.sort_ascending else [missing.desc(), key.desc()]
+    return rows.orderBy(*ordered, "seq").limit(series.max_items).withColumn("series", F.lit(name))
+
+
 def dissolve(features: DataFrame, key: Column) -> DataFrame:
     """One row for each key, in order of its first feature: name and category of that one, count and names by idx."""
     return features.withColumn("key", key).groupBy("key").agg(

@@ -65,6 +65,12 @@ def catalog(spark: SparkSession, folder: str) -> list[tuple[str, str, Grid, int,
     return layers
 
 
+def scene_catalog(blocks: DataFrame) -> list[tuple[str, str, Grid, int, int]]:
+    """(kind, label, grid, height, width) of every raster of a block table of scenes; one row a raster reaches the driver."""
+    rows = blocks.groupBy("kind", "label").agg(*[F.first(c).alias(c) for c in ("crs", "left", "top", "dx", "dy", "height", "width")]).collect()
+    return sorted(((r["kind"], r["label"], Grid(r["crs"], r["left"], r["top"], r["dx"], r["dy"]), r["height"], r["width"]) for r in rows), key=lambda x: x[:2])
+
+
 def manifest(spark: SparkSession, folder: str, **updates) -> dict:
     """The pack's manifest (a JSON text) after merging ``updates`` into its outputs; without updates it is only read."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/pack_manifest.json")
