@@ -103,7 +103,16 @@ def box_residual(pixels: DataFrame, layer: str, reach: int = 1) -> DataFrame:
 
 
 def nearest_seed(pixels: DataFrame, seeds: DataFrame, layer: str, scale: float) -> DataFrame:
-    """exp(-distance / scale) to the nearest seed cell of the same layer."""
-    s = seeds.select(layer, F.col("row").alias("sr"), F.col("col").alias("sc"))
-    d = F.sqrt(F.pow(F.col("row") - F.col("sr"), F.lit(2)) + F.pow(F.col("col") - F.col("sc"), F.lit(2)))
-    return pixels.join(s, layer).groupBy(layer, "row", "col").agg(F.exp(-F.min(d) / scale).alias("proximity"))
+    """exp(-distance / scale) to the nearest seed cell of the same layer, seeds being cells of pixels; layers without seeds are left out.
+
+    Exact in two passes: the nearest seed of each cell's column, then the best column of each cell's row, so a cell meets
+    its row and not all seeds.
+    """
+    marked = pixels.select(layer, "row", "col").join(seeds.select(layer, "row", "col", F.col("row").alias("at")), [layer, "row", "col"], "left")
+    w = Window.partitionBy(layer, "col").orderBy("row")
+    above = F.last("at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    below = F.first("at", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    gaps = marked.withColumn("gap", F.least(F.col("row") - above, below - F.col("row")))
+    columns = gaps.where("gap is not null").select(layer, "row", F.col("col").alias("c"), "gap")
+    square = F.pow(F.col("col") - F.col("c"), F.lit(2)) + F.pow("gap", F.lit(2))
+    return gaps.select(layer, "row", "col").join(columns, [layer, "row"]).groupBy(layer, "row", "col").agg(F.exp(-F.sqrt(F.min(square)) / scale).alias("proximity"))
