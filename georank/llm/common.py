@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from georank.operators import graph
 from georank.shipping import ship as ship  # noqa: PLC0414  (for the queries and the pipeline)
 
 #: A word, as the query contracts define it.
@@ -97,47 +98,6 @@ def least_hashes(rows: DataFrame, by: str, n: int, name: str) -> DataFrame:
     return placed.where(F.col("__place") <= n).select(*rows.columns)
 
 
-def _star_round(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges (hi, lo), hi > lo."""
-    both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
-        edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    )
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    # Large star: every larger neighbour of u points to the least of u and its neighbours.
-    large = (
-        edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-        .join(least, "u")
-        .select(F.col("v").alias("hi"), F.least("u", "m").alias("lo"))
-        .distinct()
-    )
-    # Small star: u and its smaller neighbours point to the least of them.
-    low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-    joined = large.join(low, "hi")
-    return (
-        joined.select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e"))
-        .select("e.hi", "e.lo")
-        .where("hi > lo")
-        .distinct()
-    )
-
-
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """Connected components of edges (a bigint, b bigint): rows (node, component), component the least node.
-
-    Only nodes with an edge to another node appear; component itself appears too. Alternating large-star and
-    small-star rounds, each a few shuffles over at most as many edges as given, until nothing changes; every
-    round's edges are a table in the shared folder. Null ends and loops are ignored; repeated edges count once.
-    """
-    now = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), name
-    )
-    seen = None
-    while True:
-        n, sign = now.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
-        if not n or (n, sign) == seen:
-            break
-        seen = (n, sign)
-        last, now = now, materialize(_star_round(now), name)
-        drop_table(last)
-    roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)
+    """graph.components over tables in the shared folder; a round's table goes when the next is written."""
+    return graph.components(edges, lambda df: materialize(df, name), drop_table)
