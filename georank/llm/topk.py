@@ -15,11 +15,22 @@ from georank.llm.vectors import clean_rows
 
 SCALE = 256
 #: Rows of a block of candidates and of a block of queries: bounds of one task's arrays.
-BLOCK_ROWS, QUERY_ROWS = 4096, 512
+BLOCK_ROWS, QUERY_ROWS = 16384, 4096
 
 _BLOCK = "dim int, blk bigint, n int, uids binary, ids binary, weights binary"
 
 
+def _narrow(weights: np.ndarray) -> bytes:
+    """Whole numbers as 32 bits where all fit, else as 64."""
+    small = not weights.size or np.abs(weights).max() < 1 << 31
+    return weights.astype("<i4" if small else "<i8").tobytes()
+
+
+def _wide(raw: bytes, terms: int, rows: int) -> np.ndarray:
+    """(terms, rows) of _narrow's bytes."""
+    return np.frombuffer(raw, "<i8" if len(raw) == 8 * terms * rows else "<i4").reshape(terms, rows).astype(np.int64)
+
+
 def _to_blocks(rows_per_block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,7 +46,7 @@ def _to_blocks(rows_per_block: int):
                     part = slice(i, i + rows_per_block)
                     yield pa.RecordBatch.from_pydict(
                         {"dim": pa.array([dim], pa.int32()), "blk": pa.array([int(u[part][0])], pa.int64()), "n": pa.array([len(u[part])], pa.int32()),
-                         "uids": [u[part].tobytes()], "ids": [v[part].tobytes()], "weights": [np.ascontiguousarray(terms[part].T).tobytes()]}
+                         "uids": [u[part].tobytes()], "ids": [v[part].tobytes()], "weights": [_narrow(np.ascontiguousarray(terms[part].T))]}
                     )
 
     return run
@@ -53,12 +64,10 @@ def accumulate(query_terms: np.ndarray, postings: np.ndarray) -> np.ndarray:
         rows = np.flatnonzero(values)
         if not len(users) or not len(rows):
             continue
-        full = len(rows) == len(values)
-        for q in users:
-            if full:
-                scores[q] += query_terms[q, t] * values
-            else:
-                scores[q, rows] += query_terms[q, t] * values[rows]
+        if len(rows) == len(values) and len(users) == len(query_terms):
+            scores += np.multiply.outer(query_terms[:, t], values)
+        else:
+            scores[np.ix_(users, rows)] += np.multiply.outer(query_terms[users, t], values[rows])
     return scores
 
 
@@ -103,8 +112,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             for i in range(batch.num_rows):  # one row is one pair of blocks
                 dim, uids, ids, weights, q_uids, q_ids, q_weights = (c[i].as_py() for c in batch.columns)
                 uids, ids, q_uids, q_ids = (np.frombuffer(x, np.int64) for x in (uids, ids, q_uids, q_ids))
-                postings = np.frombuffer(weights, np.int64).reshape(dim, len(ids))
-                terms = np.frombuffer(q_weights, np.int64).reshape(dim, len(q_ids)).T
+                postings = _wide(weights, dim, len(ids))
+                terms = _wide(q_weights, dim, len(q_ids)).T
                 out = {"query_uid": [], "query_id": [], "uid": [], "vec_id": [], "score": []}
                 for a in range(0, len(q_ids), 64):  # dense score arrays of 64 queries at a time
                     scores = accumulate(terms[a : a + 64], postings)
