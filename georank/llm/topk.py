@@ -14,8 +14,8 @@ from georank.llm.common import materialize
 from georank.llm.vectors import clean_rows
 
 SCALE = 256
-#: Rows of a block of candidates and of a block of queries: bounds of one task's arrays.
-BLOCK_ROWS, QUERY_ROWS = 16384, 4096
+#: Rows of a block of candidates, of a block of queries, and of a tile of scores: bounds of one task's arrays.
+BLOCK_ROWS, QUERY_ROWS, TILE_ROWS = 16384, 4096, 1024
 
 _BLOCK = "dim int, blk bigint, n int, uids binary, ids binary, weights binary"
 
@@ -59,15 +59,19 @@ def accumulate(query_terms: np.ndarray, postings: np.ndarray) -> np.ndarray:
     adds weight times value to its dense array of scores at those rows.
     """
     scores = np.zeros((len(query_terms), postings.shape[1]), np.int64)
-    for t, values in enumerate(postings):
-        users = np.flatnonzero(query_terms[:, t])
-        rows = np.flatnonzero(values)
-        if not len(users) or not len(rows):
-            continue
-        if len(rows) == len(values) and len(users) == len(query_terms):
-            scores += np.multiply.outer(query_terms[:, t], values)
-        else:
-            scores[np.ix_(users, rows)] += np.multiply.outer(query_terms[users, t], values[rows])
+    for a in range(0, postings.shape[1], TILE_ROWS):  # a tile of scores stays in the cache while its terms go by
+        tile = np.zeros((len(query_terms), min(TILE_ROWS, postings.shape[1] - a)), np.int64)
+        product = np.empty_like(tile)
+        for t, values in enumerate(postings[:, a : a + TILE_ROWS]):
+            users, rows = np.flatnonzero(query_terms[:, t]), np.flatnonzero(values)
+            if not len(users) or not len(rows):
+                continue
+            if 2 * len(rows) > len(values) and 2 * len(users) > len(query_terms):
+                np.multiply(query_terms[:, t, None], values, out=product)
+                tile += product
+            else:
+                tile[np.ix_(users, rows)] += np.multiply.outer(query_terms[users, t], values[rows])
+        scores[:, a : a + TILE_ROWS] = tile
     return scores
 
 
