@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -72,6 +73,27 @@ def resample(a: np.ndarray, row: np.ndarray, col: np.ndarray, how: str, spread:
     return np.where(inside & (np.abs(weight) > 1e-9), total / np.where(np.abs(weight) > 1e-9, weight, 1), np.nan)
 
 
+def item_labels(selected: list[dict], recipe: Recipe) -> list[str]:
+    """Each item's layer label: its series' file name template with date (item-N without a time), item_id and index, less the extension.
+
+    Items that come to one label raise ValueError, as one would replace the other.
+    """
+    clean = lambda x: re.sub(r"[^A-Za-z0-9_.-]+", "_", x).strip("_") or "item"
+    seen: dict[tuple[str, str], str] = {}
+    counts: dict[str, int] = {}
+    out = []
+    for item in selected:
+        n = counts[item["series"]] = counts.get(item["series"], 0) + 1
+        date = clean((item["datetime"] or f"item-{n}")[:10])
+        name = recipe.series[item["series"]].filename_template.format(date=date, item_id=clean(item["item_id"]), index=n)
+        label = re.sub(r"\.tiff?$", "", name)
+        if (item["series"], label) in seen:
+            raise ValueError(f"items {seen[item['series'], label]} and {item['item_id']} are both named {label}")
+        seen[item["series"], label] = item["item_id"]
+        out.append(label)
+    return out
+
+
 def prepare(spark: SparkSession, selected: list[dict], scenes: DataFrame, scene_layers: list, area: Area, recipe: Recipe) -> DataFrame:
     """Blocks of a pack from selected items, each {series, item_id, datetime, found: {group: href}}, and the scenes' blocks.
 
@@ -91,6 +113,7 @@ def prepare(spark: SparkSession, selected: list[dict], scenes: DataFrame, scene_
         for group, href in item["found"].items():
             if href not in number:
                 raise ValueError(f"item {item['item_id']}: no raster at {href} for {group}")
+    labels = item_labels(selected, recipe)
     how = {s: recipe.series[s].resampling or "bilinear" for s in recipe.series}
     to_metres = lambda g: 111_320.0 if g.crs == "EPSG:4326" else 1.0
     margin = 3 * max(g.dx * to_metres(g) for g in grids) + recipe.target.resolution_m
@@ -127,9 +150,8 @@ def prepare(spark: SparkSession, selected: list[dict], scenes: DataFrame, scene_
 
         out: list[tuple[str, str, np.ndarray]] = []
         heights = []
-        for item in selected:
+        for item, label in zip(selected, labels):
             s, bands = item["series"], item["found"]
-            label = f"{(item['datetime'] or '')[:10] or 'item'}_{item['item_id']}"
             if s == "dem":
                 heights += [band(s, h) for h in bands.values()]
             elif recipe.series[s].output_kind == "ndvi":

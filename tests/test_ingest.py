@@ -101,6 +101,18 @@ def test_pack_preparation(spark, scenes, tmp_path):
         app.prepare_pack(spark, area, recipe, selected[:2], str(scenes / "rasters"), str(tmp_path / "none"))
 
 
+def test_item_labels(scenes):
+    from dataclasses import replace
+
+    recipe = load_recipe(str(scenes / "recipe.toml"))
+    items = [{"series": "optical", "item_id": "a b/c", "datetime": "2024-06-01T10:00:00Z"}, {"series": "optical", "item_id": "x", "datetime": None}, {"series": "dem", "item_id": "///", "datetime": None}]
+    assert ingest.item_labels(items, recipe) == ["2024-06-01_a_b_c", "item-2_x", "item-1_item"]
+    numbered = replace(recipe, series=recipe.series | {"optical": replace(recipe.series["optical"], filename_template="{index}.tiff")})
+    assert ingest.item_labels(items[:2], numbered) == ["1", "2"]
+    with pytest.raises(ValueError):
+        ingest.item_labels([items[0], items[0]], recipe)
+
+
 def test_resampling():
     a = np.add.outer(np.arange(20.0) * 3, np.arange(20.0))
     row, col = np.array([5.5, 7.25, 9.0]), np.array([4.5, 6.75, 3.0])
