@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -9,7 +11,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +25,18 @@ CACHE_WORDS = 600_000
 
 #: Texts of these characters only are split by white space without changing any token: no combining marks
 #: and no context-dependent case below U+0250, and every other white space or control is left out.
-_PLAIN = regex.compile(r"[^ -~\t\n\r¡-ɏ]")
+_PLAIN = r"[^ -~\t\n\r\x{a1}-\x{24f}]"
 
-#: Marks that end many words.
-_MARKS = frozenset(".,;:!?")
+#: Neither letters nor digits: a run of them after letters is a token run of its own.
+_MARKS = string.punctuation
 
 
 class WordEncoder:
     """A tokenizers file's ids for whole texts, by way of a bounded cache of word ids.
 
     For tokenizers that lower-case and never join across white space (which the tests hold against the tokenizer
-    itself), a plain text's ids are its words' ids in turn. Other texts go to the tokenizer as a whole.
+    itself), a plain text's ids are its words' ids in turn. Other texts go to the tokenizer as a whole. A block's words
+    are told apart by Arrow, so Python sees each distinct word of a block once.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -43,19 +45,33 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         # Texts with an added token's name in them are the tokenizer's own: it finds such tokens before it splits.
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}  # little-endian 32-bit ids
+        self.cache: dict[str, bytes] = {"": b""}  # little-endian 32-bit ids
         self.cache_words = cache_words
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = None  # by id: whether a token ends a word
+        self.direct = False  # whether the model alone, without what goes before it, gives the ids of a word of a-z
         if suffix:
             vocab = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+            known = [w for t in vocab if (w := t.removesuffix(suffix)).isascii() and w.isalpha() and w.islower()]
+            probe = [u + v for u, v in zip(known[::97], known[::-89])]
+            self.direct = b"".join(map(self._model_ids, probe)) == np.array(self.tokenizer.encode(" ".join(probe), add_special_tokens=False).ids, "<u4").tobytes()
         self.met_again: set[str] = set()  # words of the cache that a later block of texts had too
 
+    def _model_ids(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
     def _learn(self, words: list[str]) -> None:
-        """Encode new words as texts of 2048 words; where each is one run of letters, its last token tells its end."""
-        letters = [w for w in words if w.isalpha()] if self.ends is not None else []
+        """Encode new words: those of a-z by the model, other letters as texts of 2048 words, whose last tokens tell their ends."""
+        letters, others = [], []
+        for w in words:
+            if self.direct and w.isascii() and w.isalpha():
+                self.cache[w] = self._model_ids(w)
+            elif self.ends is not None and w.isalpha():
+                letters.append(w)
+            else:
+                others.append(w)
         parts = [letters[i : i + 2048] for i in range(0, len(letters), 2048)]
         for part, got in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(got.ids, "<u4")
@@ -64,7 +80,6 @@ class WordEncoder:
                 self._remember(part, ids, [0, *stops.tolist()])
             else:
                 self._learn_by_offsets(part)
-        others = [w for w in words if not w.isalpha()] if self.ends is not None else words
         for i in range(0, len(others), 2048):
             self._learn_by_offsets(others[i : i + 2048])
 
@@ -78,31 +93,41 @@ class WordEncoder:
         raw = ids.tobytes()
         self.cache.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(words, bounds, bounds[1:]))
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if _PLAIN.search(t) or any(a in low for a in self.added) else low.split() for t, low in ((t, t.lower()) for t in texts)]
-        new: set[str] = set()
-        for words in split:
-            if words:
-                new.update(words)
-        missing = new.difference(self.cache)
+    def _know(self, words: list[str]) -> None:
+        """Bring a block's distinct words into the cache."""
+        missing = [w for w in words if w not in self.cache]
         if len(self.cache) + len(missing) > self.cache_words:  # words met in one block only go
+            new = set(words)
             keep = new.union(self.met_again) if len(new) + len(self.met_again) <= self.cache_words // 2 else new
-            self.cache = {w: self.cache[w] for w in keep.intersection(self.cache)}
+            self.cache = {"": b""} | {w: self.cache[w] for w in keep.intersection(self.cache)}
             self.met_again = set()
-        self.met_again |= new - missing
-        # A word of letters and one last mark is its letters' ids and the mark's: the tokenizer parts them.
-        marked = {w for w in missing if w[-1] in _MARKS and w[:-1].isalpha()}
-        plain = missing - marked
-        plain.update(w[:-1] for w in marked)
-        plain.update(w[-1] for w in marked)
+        self.met_again.update(words)
+        self.met_again.difference_update(missing)
+        # A word of letters and then marks is its letters' ids and the marks': the tokenizer parts them.
+        bare = [w.rstrip(_MARKS) for w in missing]
+        marked = [(w, c, w[len(c) :]) for w, c in zip(missing, bare) if len(c) < len(w) and c.isalpha()]
+        plain = {w for w, c in zip(missing, bare) if len(c) == len(w) or not c.isalpha()}
+        plain.update(x for _, *parts in marked for x in parts)
         self._learn(list(plain.difference(self.cache)))
-        self.cache.update((w, self.cache[w[:-1]] + self.cache[w[-1]]) for w in marked)
-        ids = self.cache.__getitem__
-        return [
-            np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4") if words is None
-            else np.frombuffer(b"".join(map(ids, words)), "<u4")
-            for t, words in zip(texts, split)
-        ]
+        self.cache.update((w, self.cache[c] + self.cache[m]) for w, c, m in marked)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        low = [t.lower() for t in texts]
+        odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), _PLAIN).to_numpy(zero_copy_only=False)
+        own = [i for i, t in enumerate(low) if not odd[i] and not any(a in t for a in self.added)]
+        split = pc.ascii_split_whitespace(pa.array([low[i] for i in own], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self._know(words)
+        raw = list(map(self.cache.__getitem__, words))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        each = sizes[codes]
+        stops = np.append(0, np.cumsum(each))
+        shift = (np.cumsum(sizes) - sizes)[codes] - stops[:-1]  # from a token's place in the block to that in the distinct words
+        ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(shift, each) + np.arange(stops[-1])]
+        bounds = stops[split.offsets.to_numpy() - split.offsets[0].as_py()] if own else []
+        out: dict[int, np.ndarray] = {i: ids[a:b] for i, a, b in zip(own, bounds, bounds[1:])}
+        return [out[i] if i in out else np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4") for i, t in enumerate(texts)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -128,8 +153,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_
             doc_ids = batch.column(0).to_pylist()
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
             a = 0
-            while a < batch.num_rows:  # about 2 MB of text at a time
-                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + (1 << 21))))
+            while a < batch.num_rows:  # about 4 MB of text at a time
+                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + (1 << 22))))
                 rows = []
                 for doc, ids in zip(doc_ids[a:b], encode_all([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])):
                     ids = np.concatenate([ids, end])
