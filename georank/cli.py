@@ -58,7 +58,7 @@ def run(spark, argv: list[str]) -> dict:
     from georank.recipe import load_recipe
     from georank.settings import load_settings
     from georank.sinks.writers import write_analysis, write_ranked
-    from georank.sources import catalog, pack
+    from georank.sources import catalog, pack, search
     from georank.sources.readers import demo_zones, read_area, read_candidates, read_zones
 
     args = parser().parse_args(argv if argv and (argv[0] in COMMANDS or argv[0] in ("-h", "--help")) else ["rank", *argv])
@@ -73,9 +73,11 @@ def run(spark, argv: list[str]) -> dict:
     def select(area):
         if given.get("selection_manifest"):
             return json.loads(Path(given["selection_manifest"]).read_text(encoding="utf-8"))["items"]
-        if not args.catalog:
-            raise SystemExit("a --catalog on file is needed: this engine searches no endpoint")
-        return app.select_scenes(catalog.read_items(spark, args.catalog), load_recipe(args.recipe), area)
+        recipe = load_recipe(args.recipe)
+        if not args.catalog and not recipe.stac.endpoint:
+            raise SystemExit("a --catalog on file or an endpoint in the recipe is needed")
+        items = catalog.read_items(spark, args.catalog) if args.catalog else search.search_items(spark, recipe, area.rings)
+        return app.select_scenes(items, recipe, area)
 
     def add_context(folder):
         return {} if args.context_mode == "off" else app.build_context(spark, folder, settings, args.context_mode == "overwrite")

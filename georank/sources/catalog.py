@@ -1,4 +1,4 @@
-"""Scene catalogs on file: pages of items as JSON, one page or item a line or a file."""
+"""Scene catalogs: pages of items as JSON, one page or item a line or a file."""
 
 from __future__ import annotations
 
@@ -16,7 +16,12 @@ def read_items(spark: SparkSession, path: str, whole_files: bool = False) -> Dat
     A line (or file) is a page with ``features`` or an item. An item that repeats an id within its collection counts once,
     the first one. assets are (ord, key, title, bands, href) in the order given, hrefs without file://.
     """
-    lines = spark.read.text(path, wholetext=whole_files).where(F.length(F.trim("value")) > 0).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path, wholetext=whole_files).where(F.length(F.trim("value")) > 0)
+    return items_of(lines.select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line")))
+
+
+def items_of(lines: DataFrame) -> DataFrame:
+    """Items, as read_items gives them, of lines (value, file, line), each a page or an item, in order of file and line."""
     page = F.from_json("value", f"struct<features: array<{_ITEM}>>")["features"]
     items = lines.select("file", "line", F.posexplode(F.coalesce(page, F.array(F.from_json("value", _ITEM)))).alias("at", "i")).where("i.id is not null")
     order = F.struct("file", "line", "at")

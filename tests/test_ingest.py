@@ -2,6 +2,9 @@
 
 import json
 import math
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qsl, urlsplit
 
 import numpy as np
 import pytest
@@ -10,6 +13,7 @@ from georank import app, cli
 from georank.operators import ingest, redzones
 from georank.recipe import load_recipe
 from georank.sources import pack as packs
+from georank.sources import search
 from georank.sources.catalog import read_items
 from georank.sources.readers import area_of_box, read_zones
 
@@ -69,6 +73,80 @@ def test_selection(spark, scenes):
     assert app.select_scenes(items, recipe, area_of_box(10, 10, 11, 11)) == []
 
 
+@pytest.fixture
+def endpoint():
+    """A catalog server of two pages a collection, the last with a link back, and the requests it had."""
+    had = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, body):
+            url = urlsplit(self.path)
+            query = dict(parse_qsl(url.query))
+            had.append((self.command, url.path, body or query, self.headers.get("X-Key")))
+            name = body["collections"][0] if body else query["c"]
+            first = self.command == "POST"
+            clouds = (8, 2.5) if first else (9,)
+            assets = _bands if name == "scenes" else lambda n: {"data": {"href": f"{n}/data"}}
+            page = {"features": [_item(f"{name}{c}", name, c, assets(f"{name}{c}")) for c in clouds]}
+            page["links"] = [{"rel": "self", "href": "x"}, {"rel": "next", "href": "more", "body": {"c": name}}]
+            raw = json.dumps(page).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def do_POST(self):
+            self.answer(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+
+        def do_GET(self):
+            self.answer(None)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/api", had
+    server.shutdown()
+    server.server_close()
+
+
+def test_search(spark, endpoint, tmp_path):
+    url, had = endpoint
+    recipe = tmp_path / "recipe.toml"
+    recipe.write_text(f'[stac]\nendpoint = "{url}"\nheaders = {{ X-Key = "k" }}\n' + RECIPE)
+    area = area_of_box(90.02, 47.02, 90.1, 47.1)
+    items = search.search_items(spark, load_recipe(str(recipe)), area.rings).collect()
+    assert sorted(i["item_id"] for i in items) == ["heights2.5", "heights8", "heights9", "scenes2.5", "scenes8", "scenes9"]
+    asked = sorted((h[:3] for h in had if h[0] == "POST"), key=repr)
+    assert {h[1] for h in asked} == {"/api/search"} and {h[2]["collections"][0] for h in asked} == {"scenes", "heights"}
+    assert all(h[2]["limit"] == 50 and h[2]["intersects"]["type"] == "Polygon" and h[2]["intersects"]["coordinates"][0][0] == h[2]["intersects"]["coordinates"][0][-1] for h in asked)
+    assert {h[1] for h in had if h[0] == "GET"} == {"/api/more"} and {h[3] for h in had} == {"k"}
+    assert all(sum(h[0] == "GET" and h[2] == {"c": c} for h in had) == sum(h[0] == "POST" and h[2]["collections"] == [c] for h in had) for c in ("scenes", "heights"))  # a link followed before ends a search
+    aoi = tmp_path / "aoi.geojson"
+    aoi.write_text(json.dumps({"type": "Polygon", "coordinates": [[[90.02, 47.02], [90.1, 47.02], [90.1, 47.1], [90.02, 47.1], [90.02, 47.02]]]}))
+    cli.run(spark, ["stac-search", "--aoi", str(aoi), "--recipe", str(recipe), "--output", str(tmp_path / "m.json")])
+    assert [i["item_id"] for i in json.loads((tmp_path / "m.json").read_text())["items"]][:2] == ["scenes2.5", "scenes8"]
+    nothing = tmp_path / "nothing.toml"
+    nothing.write_text(f'[stac]\nendpoint = "{url}"\n')
+    assert search.search_items(spark, load_recipe(str(nothing)), area.rings).count() == 0
+
+
+def test_pages_of_a_search():
+    """At most max_pages; a next link without href is passed over; of links followed before the next one counts."""
+    links = [{"rel": "next"}, {"rel": "next", "href": "b"}, {"rel": "next", "href": "c", "method": "post", "body": {"x": 1}}]
+    had = []
+
+    def ask(*step):
+        had.append(step)
+        return {"links": links}
+
+    assert len(list(search.follow("http://h/a", {"q": 1}, 10, ask))) == 3
+    assert had == [("POST", "http://h/a", {"q": 1}, {}), ("GET", "http://h/b", None, {}), ("POST", "http://h/c", {"x": 1}, {})]
+    assert len(list(search.follow("http://h/a", {}, 2, ask))) == 2
+    with pytest.raises(ValueError):
+        search.send("GET", "file:///etc/hosts", None, {}, 1)
+
+
 def test_recipe_errors(tmp_path):
     p = tmp_path / "r.toml"
     for text, error in (("[optical]\nnope = 1\n", TypeError), ('[sar]\nresampling = "best"\n', ValueError), ("[target]\nresolution_m = 0\n", ValueError), ("[[dem.filters]]\nproperty = 'a'\nlike = 3\n", TypeError)):
