@@ -172,7 +172,11 @@ def wide_links(classes: DataFrame, similarity: float) -> DataFrame:
     variants = values.repartition(partitions(classes.sparkSession), "v").select("v", ball).select(F.col("v").bitwiseXOR(F.col("mask")).alias("centre"), "v")
     # Nearly every centre has one value, so lists are not begun before the shuffle.
     met = variants.repartition("centre").groupBy("centre").agg(F.collect_list("v").alias("vs")).where(F.size("vs") > 1)
-    centres = materialize(met.select("centre", F.explode("vs").alias("v")), "simhash-centres")
+    # Balls have radius 1. Two values within 2 bits meet at two centres, of which they are held against each other at one: with the higher of
+    # the bits that part them from it not set in it. A member is held if its bit isn't above the highest such bit of the centre's.
+    apart_by = F.col("v").bitwiseXOR(F.col("centre"))
+    members_of = met.select("centre", (F.array_max("vs") - F.col("centre")).alias("top"), F.explode("vs").alias("v"))
+    centres = materialize(members_of.select("centre", "v", (apart_by <= F.col("top")).alias("held")), "simhash-centres")
 
     def apart(one: Column, two: Column, i: int, j: int) -> Column:
         return sum((F.bit_count(F.get(one, F.lit(n)).bitwiseXOR(F.get(two, F.lit(n)))) for n in range(i, j)), F.lit(0))
@@ -190,7 +194,7 @@ def wide_links(classes: DataFrame, similarity: float) -> DataFrame:
     named = components(first, "simhash-components-1").withColumnRenamed("node", "cid")
     placed = materialize(members.join(named, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "simhash-placed")
     # A value's own classes meet as at a centre of that value alone.
-    meet = centres.union(values.where("n > 1").select((-F.col("v") - 1).alias("centre"), "v")).join(placed, "v").select("centre", "cid", "component")
+    meet = centres.where("held").select("centre", "v").union(values.where("n > 1").select((-F.col("v") - 1).alias("centre"), "v")).join(placed, "v").select("centre", "cid", "component")
     mixed = meet.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("centre", "n")
     rows = materialize(meet.join(mixed, "centre").join(classes, "cid").select("centre", "n", "cid", "component", "fp"), "simhash-mixed")
     chunk = F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / CHUNK))
