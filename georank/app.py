@@ -73,8 +73,7 @@ def analyze(spark: SparkSession, area: Area, pack: str, mode: str = "public", re
     records = _kept(rows.withColumn("source_dates", F.array(*map(F.lit, dates))).drop("half_lat", "half_lon"))
     ranked = _kept(rank.top(rank.rank(records, mode, red_zones, settings), a.max_candidates, a.min_adjusted_score))
     members = ranked.join(records.select("seq", "lat", "lon", "x", "y", "x0", "y0", F.col("zone_names").alias("red_zone_names")), "seq")
-    pairs = cluster.distance_pairs(members, a.cluster_distance_m)
-    members = _kept(members.join(cluster.connected_components(members, pairs), "seq"))
+    members = _kept(members.join(cluster.components_within(members, a.cluster_distance_m), "seq"))
     clusters = cluster.summarize(members, mode, a.cluster_min_members, settings)
     squares = members.select("component", F.col("x0").alias("x"), F.col("y0").alias("y"))
     clusters = _kept(clusters.join(cluster.union_area_ha(squares, a.tile_size_m, a.tile_step_m), "component"))

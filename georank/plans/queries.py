@@ -199,7 +199,7 @@ comp AS (SELECT x AS seq, min(y) AS component FROM reach GROUP BY 1)"""
 
 def _members(spark, sf_dir):
     c = rank.score(_points(spark, sf_dir))
-    comp = cluster.connected_components(c, cluster.distance_pairs(c, 180))
+    comp = cluster.components_within(c, 180)
     return c.join(comp, "seq").withColumn("adjusted_score", F.round("adjusted", 4)).withColumn("reasons", scoring.reasons(F.col("adjusted"), F.lit(None).cast("array<string>")))
 
 

@@ -184,3 +184,47 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(cols) == sorted(df.columns)
     want = sorted((tuple(_same(v) for v in r) for r in result.fetchall()), key=repr)
     assert sorted((tuple(_same(v) for v in r) for r in df.select(*[f"`{c}`" for c in cols]).collect()), key=repr) == want
+
+
+def _arc(n, radius, shift):
+    return [(radius * math.cos(t + shift), radius * math.sin(t + shift)) for t in np.linspace(-0.2, 0.2, n)]
+
+
+@pytest.mark.parametrize("kind", ["even", "clumps", "arcs", "arcs_apart"])
+def test_components_within_by_brute_force(spark, kind):
+    rng = np.random.default_rng(5)
+    places = {
+        "even": rng.uniform(-500, 500, (250, 2)), "clumps": np.repeat(rng.uniform(-300, 300, (40, 2)), 12, axis=0) + rng.normal(0, 12, (480, 2)),
+        # Arcs a step or hardly more apart: only few of their points, or none, are near the other's.
+        "arcs": _arc(300, 1000, 0) + _arc(300, 1070 + 9e-7, 0.0003), "arcs_apart": _arc(300, 1000, 0) + _arc(300, 1070.001, 0),
+    }[kind]
+    places = [(float(x), float(y)) for x, y in places]
+    places += [places[0], (None, 1.0), (None, 1.0), (float("nan"), 0.0), (0.0, float("inf")), (5000.0, 5000.0), (5070.0, 5000.0), (5140.1, 5000.0)]
+    near = lambda p, q: None not in (*p, *q) and math.hypot(p[0] - q[0], p[1] - q[1]) <= 70 + 1e-6
+    root = list(range(len(places)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, p in enumerate(places):
+        for j in range(i):
+            if near(p, places[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "seq long, x double, y double")
+    assert {r["seq"]: r["component"] for r in cluster.components_within(df, 70).collect()} == {i: top(i) for i in range(len(root))}
+
+
+def test_meets_by_brute_force():
+    rng = np.random.default_rng(8)
+    for gap in (0.0, 30.0, 69.0, 70.5, 90.0):
+        one, two = rng.uniform(0, 60, (900, 2)), rng.uniform(0, 60, (700, 2)) + [60 + gap, 0]
+        least = np.hypot(one[:, None, 0] - two[None, :, 0], one[:, None, 1] - two[None, :, 1]).min()
+        assert all(cluster.meets(one, two, r) == (least <= r) for r in (least, least - 1e-9, least + 1e-9, 70.0))
+
+
+def test_components_of_one_place_make_no_pairs(spark):
+    df = spark.range(200_000).select(F.col("id").alias("seq"), (F.col("id") % 997 / 10).alias("x"), (F.col("id") % 991 / 10).alias("y"))
+    assert cluster.components_within(df, 180).groupBy("component").count().collect() == [(0, 200_000)]
