@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,12 +65,13 @@ class BlockMaxIndex:
         self.labels = np.array([labels[i] for i in order], float)
         self.ids = [ids[i] for i in order]
         self.n_blocks = -(-self.n // block)
-        docs = np.concatenate([np.full(len(vectors[i][0]), p) for p, i in enumerate(order)] or [np.empty(0)]).astype(np.int64)
-        terms = np.concatenate([vectors[i][0] for i in order] or [np.empty(0)]).astype(np.int64)
-        weights = np.concatenate([vectors[i][1] for i in order] or [np.empty(0)])
-        by = np.lexsort((docs, terms))
-        self.docs, self.weights = docs[by].astype(np.int32), weights[by]
-        self.starts = np.searchsorted(terms[by], np.arange(n_terms + 1))
+        # Postings are most of the memory: 32-bit numbers, and one array of weights at a time.
+        terms = np.concatenate([np.empty(0, np.int32), *[vectors[i][0] for i in order]], dtype=np.int32, casting="same_kind")
+        by = np.argsort(terms, kind="stable")  # by term, then place
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n_terms))])
+        del terms
+        self.docs = np.repeat(np.arange(self.n, dtype=np.int32), [len(vectors[i][0]) for i in order])[by]
+        self.weights = np.concatenate([np.empty(0), *[vectors[i][1] for i in order]])[by]
         self.column = np.full(n_terms, -1, np.int64)  # of a dense term
         dense = np.flatnonzero(np.diff(self.starts) * 16 >= max(self.n, 1))
         self.column[dense] = np.arange(len(dense))
@@ -77,6 +80,13 @@ class BlockMaxIndex:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"rows": None}  # dense rows are laid out anew where they are used
 
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, weights) of each example by place, as nearest() takes them."""
+        by = np.argsort(self.docs, kind="stable")
+        terms = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))[by]
+        cuts = np.cumsum(np.bincount(self.docs, minlength=self.n))[:-1]
+        return list(zip(np.split(terms, cuts), np.split(self.weights[by], cuts))) if self.n else []
+
     def _dense(self) -> tuple[np.ndarray, np.ndarray]:
         """(weights, block bounds) of the dense terms."""
         if self.rows is None:
@@ -153,17 +163,13 @@ def pool_adjacent(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
     return np.array([v for m in merged for v in m[:2]]), np.array([m[2] / m[3] for m in merged for _ in (0, 1)])
 
 
-class Model:
-    """Index, term weights and calibration; its size is bounded by the number of examples and their texts.
+class Scorer:
+    """Index and term weights, as the executors get them; their size is bounded by the number of examples and their texts.
 
-    examples are (id, label, term numbers, frequencies). rest is a table (term, weight) of the words that no example
-    has; it stays in storage and isn't shipped.
+    examples are (id, label, term numbers, frequencies).
     """
 
-    def __init__(self, kept: list[str], weight: np.ndarray, examples: list[tuple[object, int, np.ndarray, np.ndarray]], prior: dict[int, float], rest: DataFrame | None = None, unseen: float = 1.0, id_type: str = "bigint"):
-        self.rest, self.unseen, self.id_type = rest, unseen, id_type
-        self.fitted: tuple[DataFrame, DataFrame] | None = None  # docs and their numbered words
-        self.kept = {t: i for i, t in enumerate(kept)}
+    def __init__(self, weight: np.ndarray, examples: list[tuple[object, int, np.ndarray, np.ndarray]], prior: dict[int, float]):
         self.weight = weight
         vectors = [vector(at, n, weight) for _, _, at, n in examples]
         labels = [y for _, y, *_ in examples]
@@ -172,17 +178,16 @@ class Model:
         empty = [share[y] * np.array([1, y]) for y, v in zip(labels, vectors) if not len(v[0])]
         self.empty_score = float(np.sum([e[1] for e in empty]) / np.sum([e[0] for e in empty])) if empty else 0.0
         full = [i for i, v in enumerate(vectors) if len(v[0])]
-        self.index = BlockMaxIndex([vectors[i] for i in full], [labels[i] for i in full], [examples[i][0] for i in full], len(kept))
+        self.index = BlockMaxIndex([vectors[i] for i in full], [labels[i] for i in full], [examples[i][0] for i in full], len(weight))
         self.example_weight = np.where(self.index.labels > 0, share[1], share[0])
-        votes = []
-        for a in range(0, len(full), BATCH):
-            chosen = range(a, min(a + BATCH, len(full)))
-            found = self.index.nearest([vectors[full[self.index.order[p]]][:2] for p in chosen], K, skip=list(chosen))
-            votes += [self.vote(*x) for x in found]
-        self.knots = pool_adjacent(np.array(votes), self.index.labels, self.example_weight) if votes else (np.array([0.0]), np.array([self.empty_score]))
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("rest", "fitted")}
+    def example_votes(self, batches: Iterator[int]) -> Iterator[tuple[int, float]]:
+        """(place, vote by the other examples) of the examples of each batch."""
+        vectors = self.index.vectors()
+        for b in batches:
+            chosen = range(b * BATCH, min((b + 1) * BATCH, self.index.n))
+            found = self.index.nearest([vectors[p] for p in chosen], K, skip=list(chosen))
+            yield from ((p, self.vote(*x)) for p, x in zip(chosen, found))
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Toxic share of the neighbours' votes; one votes with its cosine times its class's weight."""
@@ -190,8 +195,8 @@ class Model:
         total = float(votes.sum())
         return float(votes @ self.index.labels[places]) / total if total > 0 else 0.0
 
-    def score(self, terms: list[np.ndarray], n: list[np.ndarray]) -> list[tuple[float, float, list]]:
-        """(score, length over the examples' words, evidence) of texts given as term numbers and frequencies.
+    def score(self, terms: list[np.ndarray], n: list[np.ndarray], knots: tuple[np.ndarray, np.ndarray]) -> list[tuple[float, float, list]]:
+        """(score, length over the examples' words, evidence) of texts given as term numbers and frequencies; knots calibrate votes.
 
         Other words add to a text's length only, so the votes, which don't depend on it, need no weight of theirs.
         """
@@ -204,10 +209,30 @@ class Model:
                     out.append((self.empty_score, v[2], []))
                     continue
                 evidence = [{"example_id": self.index.ids[p], "cosine": c, "label": int(self.index.labels[p])} for p, c in zip(places.tolist(), cosines.tolist())]
-                out.append((float(np.clip(np.interp(self.vote(places, cosines), *self.knots), 0, 1)), v[2], evidence))
+                out.append((float(np.clip(np.interp(self.vote(places, cosines), *knots), 0, 1)), v[2], evidence))
         return out
 
 
+class Model:
+    """A fitted scorer with its calibration; scorer and numbers of words are broadcasts, of which the driver keeps no copy.
+
+    rest is a table (term, weight) of the words that no example has; it stays in storage and isn't shipped.
+    """
+
+    def __init__(self, numbers: Broadcast, scorer: Broadcast, knots: tuple[np.ndarray, np.ndarray], rest: DataFrame, unseen: float, id_type: str):
+        self.numbers, self.scorer, self.knots = numbers, scorer, knots
+        self.rest, self.unseen, self.id_type = rest, unseen, id_type
+        self.fitted: tuple[DataFrame, DataFrame] | None = None  # docs and their numbered words
+
+    @property
+    def kept(self) -> dict[str, int]:
+        return self.numbers.value
+
+    @property
+    def index(self) -> BlockMaxIndex:
+        return self.scorer.value.index
+
+
 def held_out(doc_id, modulus: int = 3, fold: int = 1):
     """Whether a row is kept from learning, by the CRC-32 of its id's text; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == fold
@@ -220,12 +245,12 @@ def chi_square(clean: np.ndarray, toxic: np.ndarray, n_clean: float, n_toxic: fl
     return np.divide(total * (toxic * (n_clean - clean) - clean * (n_toxic - toxic)) ** 2, spread, out=np.zeros(len(seen)), where=spread > 0)
 
 
-def number_terms(docs: DataFrame, number: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def number_terms(docs: DataFrame, numbers: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A stage table (doc_id, uid, at, n, others, tf): a text's known words by number with frequencies (32-bit), the others by name."""
 
     @F.pandas_udf("at binary, n binary, others array<string>, tf array<double>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        out = []
+        number, out = numbers.value, []
         for t in texts:
             words = text_terms(t)
             at = np.array([number.get(w, -1) for w in words], "<i4")
@@ -254,33 +279,42 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
     slim = materialize(texts.select("id", "h").join(known, "id"), "toxicity-labelled")
     prior = {r["y"]: r["n"] for r in slim.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = least_hashes(slim, "y", fit_docs, "toxicity").distinct()
-    sample = materialize(texts.join(F.broadcast(chosen), ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "h", "y", "text"), "toxicity-sample")
+    sample = texts.join(F.broadcast(chosen), ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "h", "y", "text")
     id_type = dict(sample.dtypes)["id"]
+    spark = docs.sparkSession
 
     def terms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             tf = [text_terms(t) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "h": pdf["h"], "y": pdf["y"], "terms": [list(x.keys()) for x in tf], "n": [np.array(list(x.values()), "<i4").tobytes() for x in tf]})
 
-    examples = sample.mapInPandas(terms_of, f"id {id_type}, h bigint, y int, terms array<string>, n binary").orderBy("id", "h").toArrow()
-    flat = examples["terms"].combine_chunks().flatten().dictionary_encode() if examples.num_rows else None
-    words = sorted(flat.dictionary.to_pylist()) if flat is not None else []
-    number = {t: i for i, t in enumerate(words)}
-    y = examples["y"].to_numpy().astype(np.int64)
-    n = [np.frombuffer(x, "<i4").astype(float) for x in examples["n"].to_pylist()]
-    if words:
-        by_code = np.array([number[t] for t in flat.dictionary.to_pylist()], np.int64)
-        at = np.split(by_code[flat.indices.to_numpy()], np.cumsum([len(x) for x in n])[:-1])
-    else:
-        at = [np.empty(0, np.int64) for _ in n]
-    df_of = lambda label: np.bincount(np.concatenate([a for a, l in zip(at, y) if l == label] or [np.empty(0, np.int64)]).astype(np.int64), minlength=len(words)).astype(float)
+    # The driver sees each word once, and the examples by number.
+    told = materialize(sample.mapInPandas(terms_of, f"id {id_type}, h bigint, y int, terms array<string>, n binary"), "toxicity-sample")
+    words = sorted(told.select(F.explode("terms").alias("term")).distinct().toArrow()["term"].to_pylist())
+    n_terms = len(words)
+    numbers = spark.sparkContext.broadcast({t: i for i, t in enumerate(words)})
+    del words
+
+    def by_number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = numbers.value
+        for pdf in batches:
+            yield pdf[["id", "h", "y", "n"]].assign(at=[np.array([number[t] for t in ts], "<i4").tobytes() for ts in pdf["terms"]])
+
+    examples = told.mapInPandas(by_number, f"id {id_type}, h bigint, y int, n binary, at binary").orderBy("id", "h").toArrow()
+    ids, y = examples["id"].to_pylist(), examples["y"].to_numpy().astype(np.int64)
+    at, n = ([np.frombuffer(x.as_buffer() or b"", "<i4") for x in examples[c]] for c in ("at", "n"))
+    del examples
+
+    def df_of(label: int) -> np.ndarray:
+        return np.bincount(np.concatenate([np.empty(0, np.int32), *[a for a, l in zip(at, y) if l == label]], dtype=np.int32, casting="same_kind"), minlength=n_terms).astype(float)
+
     chi2 = chi_square(df_of(0), df_of(1), float((y == 0).sum()), float((y == 1).sum()))
 
     # Words are numbered once; document frequencies and scores read the numbers.
-    numbered = number_terms(docs, number, id_col, text_col)
+    numbered = number_terms(docs, numbers, id_col, text_col)
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, rows = np.zeros(len(number), np.int64), 0
+        df, rows = np.zeros(n_terms, np.int64), 0
         for pdf in batches:
             rows += len(pdf)
             for raw in pdf["at"]:
@@ -291,12 +325,28 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
     counted = numbered.select("at").mapInPandas(frequencies, "place int, df bigint").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
     place, found = counted["place"].to_numpy(), counted["df"].to_numpy()
     n_docs = int(found[place < 0].sum())
-    df = np.zeros(len(words))
+    df = np.zeros(n_terms)
     df[place[place >= 0]] = found[place >= 0]
     rare = numbered.select(F.explode("others").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     rest = materialize(rare.select("term", (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("weight")), "toxicity-rest")
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    model = Model(words, idf * (1 + np.sqrt(chi2)), list(zip(examples["id"].to_pylist(), y.tolist(), at, n)), prior, rest, math.log(1 + n_docs) + 1, id_type)
+    built = Scorer(idf * (1 + np.sqrt(chi2)), list(zip(ids, y.tolist(), at, n)), prior)
+    labelled, weights, empty_score = built.index.labels, built.example_weight, built.empty_score
+    scorer = spark.sparkContext.broadcast(built)
+    del built, at, n
+    pa.default_memory_pool().release_unused()
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame(list(scorer.value.example_votes(pdf["id"])), columns=["place", "vote"])
+
+    knots = np.array([0.0]), np.array([empty_score])
+    if len(labelled):
+        n_batches = -(-len(labelled) // BATCH)
+        batches = spark.range(0, n_batches, 1, min(n_batches, spark.sparkContext.defaultParallelism))
+        found = batches.mapInPandas(votes, "place int, vote double").toArrow()
+        knots = pool_adjacent(found["vote"].to_numpy()[np.argsort(found["place"].to_numpy())], labelled, weights)
+    model = Model(numbers, scorer, knots, rest, math.log(1 + n_docs) + 1, id_type)
     model.fitted = docs, numbered
     return model
 
@@ -312,18 +362,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     if model.fitted is not None and model.fitted[0] is docs:
         numbered = model.fitted[1]
     else:
-        numbered = number_terms(docs, model.kept, id_col, text_col)
+        numbered = number_terms(docs, model.numbers, id_col, text_col)
+
+    scorer, knots = model.scorer, model.knots
 
     @F.pandas_udf(f"score double, length double, evidence array<struct<example_id: {model.id_type}, cosine: double, label: int>>")
     def run(at: pd.Series, n: pd.Series) -> pd.DataFrame:
-        found = model.score([np.frombuffer(x, "<i4") for x in at], [np.frombuffer(x, "<i4").astype(float) for x in n])
+        found = scorer.value.score([np.frombuffer(x, "<i4") for x in at], [np.frombuffer(x, "<i4").astype(float) for x in n], knots)
         return pd.DataFrame(found, columns=["score", "length", "evidence"])
 
     found = materialize(numbered.select("doc_id", "uid", run("at", "n").alias("t")).select("doc_id", "uid", "t.*"), "toxicity-scored")
     others = numbered.select("uid", F.explode(F.arrays_zip("others", "tf")).alias("o")).select("uid", F.col("o.others").alias("term"), "o.tf")
-    weight = F.coalesce("weight", F.lit(model.unseen)) if model.rest is not None else F.lit(model.unseen)
-    met = others if model.rest is None else others.join(model.rest, "term", "left")
-    lengths = met.groupBy("uid").agg(F.sum(F.pow(F.col("tf") * weight, F.lit(2.0))).alias("more"))
+    weight = F.coalesce("weight", F.lit(model.unseen))
+    lengths = others.join(model.rest, "term", "left").groupBy("uid").agg(F.sum(F.pow(F.col("tf") * weight, F.lit(2.0))).alias("more"))
     share = F.col("length") / F.sqrt(F.col("length") * F.col("length") + F.coalesce("more", F.lit(0.0)))
     whole = F.transform("evidence", lambda e: F.struct(e["example_id"].alias("example_id"), (e["cosine"] * share).alias("cosine"), e["label"].alias("label")))
     out = found.join(lengths, "uid", "left")

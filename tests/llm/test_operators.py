@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -234,6 +235,22 @@ def test_toxicity_ties_and_repeats(spark, tmp_path):
     assert runs[0] == runs[1] and all((s >= 0.7) == (d % 3 == 0) for d, s, _ in runs[0])
 
 
+def test_toxicity_leaves_the_driver_little(spark, tmp_path):
+    """The driver holds the examples' postings while it builds the index, no dense rows, and nothing of it afterwards."""
+    rng = np.random.default_rng(8)
+    names = ["".join("abcdefghijklm"[d] for d in (k // 169, k // 13 % 13, k % 13)) for k in range(2000)]
+    rows = [(i, " ".join(names[k] for k in rng.choice(2000, 150, replace=False))) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    labels = spark.range(1500).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS INT) AS toxic")
+    tracemalloc.start()
+    model = toxicity.fit(docs, labels, F.lit(True))
+    left, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 64 * 1500 * 150 and left < 8 * 1500 * 150
+    assert model.index.n == 1500 and (model.index.column >= 0).sum() > 1000  # whose rows take 12 kB each
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(0)
     vectors = []
