@@ -151,12 +151,37 @@ def wide_radius() -> int:
     return BLOCKS * (BLOCK_RADIUS + 1) - 1
 
 
+def long_radius() -> int:
+    """Of two within wide_radius(), some long differs in no more bits, and some block of it in at most BLOCK_RADIUS."""
+    return wide_radius() // (BLOCKS * BLOCK_BITS // BITS)
+
+
+def met_values(variants: DataFrame, beside: int) -> DataFrame:
+    """Rows (centre, vs): of each centre's values (v, the lower bits of long p), those that may have another of the centre within long_radius().
+
+    Above v, p has ``beside`` bits of the other block of the value's long. Where a value's classes differ in these, p is negative and near to all.
+    """
+    known = F.lit((1 << BITS - 1) - 1)
+
+    def may_be_near(p: Column, q: Column) -> Column:
+        return (p != q) & ((p < 0) | (q < 0) | (F.bit_count(p.bitwiseXOR(q).bitwiseAND(known)) <= long_radius()))
+
+    # Nearly every centre has one value, so lists are not begun before the shuffle.
+    met = variants.repartition("centre").groupBy("centre").agg(F.collect_list("p").alias("ps")).where(F.size("ps") > 1)
+    low = F.lit((1 << BITS - 1 - beside) - 1)
+    kept = met.select("centre", F.filter("ps", lambda p: F.exists("ps", lambda q: may_be_near(p, q))).alias("ps")).where(F.size("ps") > 1)
+    return kept.select("centre", F.transform("ps", lambda p: p.bitwiseAND(low)).alias("vs"))
+
+
 def wide_links(classes: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) that connect exactly what direct links connect, from classes (cid, fp), fp by wide_fingerprint and distinct.
 
     Two are linked if their words' fingerprints differ in at most wide_radius() bits and their sketches in at most
     sketch_distance(similarity). By pigeonhole the former agree in a block up to BLOCK_RADIUS bits, so block values
-    emit their balls of half that radius and meet at a centre, at most one value for each mask. First each class is held
+    emit their balls of half that radius and meet at a centre, at most one value for each mask. Moderately similar texts meet
+    so too, by the square of their number, so values carry bits of the other block of their long: by pigeonhole again,
+    two near ones have a long in which they differ in at most long_radius() bits, and a block of it that meets. Values
+    that no other at the centre is so near go. First each class is held
     against the least class of its values, and these against the least of each centre; that connects most. Then, where
     classes of different components meet at a centre, each is held against the others there, in chunks of CHUNK; a
     class gives the components that it links to, so a large group of near copies isn't expanded into its pairs.
@@ -165,13 +190,17 @@ def wide_links(classes: DataFrame, similarity: float) -> DataFrame:
     per_long = BITS // BLOCK_BITS
     block = lambda k: F.shiftrightunsigned(F.get("fp", F.lit(k // per_long)), BLOCK_BITS * (k % per_long)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
     value = lambda k: F.lit(k << BLOCK_BITS).cast("long").bitwiseOR(block(k))  # noqa: E731  (a block's number and its bits)
-    members = materialize(classes.select("cid", F.explode(F.array(*[value(k) for k in range(BLOCKS)])).alias("v")), "simhash-members")
-    values = materialize(members.groupBy("v").agg(F.min("cid").alias("hub"), F.count("*").alias("n")), "simhash-values")
+    beside = BITS - 1 - BLOCK_BITS - (BLOCKS - 1).bit_length()  # bits of a long that a value and the sign leave
+    bits_beside = lambda k: block(k - k % per_long + (k + 1) % per_long).bitwiseAND(F.lit((1 << min(beside, BLOCK_BITS)) - 1))
+    exploded = F.inline(F.array(*[F.struct(value(k).alias("v"), bits_beside(k).alias("beside")) for k in range(BLOCKS)]))
+    members = materialize(classes.select("cid", exploded), "simhash-members")
+    one_beside = F.when(F.min("beside") == F.max("beside"), F.shiftleft(F.min("beside"), BITS - 1 - beside)).otherwise(F.lit(-(1 << BITS - 1)))
+    values = materialize(members.groupBy("v").agg(F.min("cid").alias("hub"), F.count("*").alias("n"), one_beside.bitwiseOR(F.col("v")).alias("p")), "simhash-values")
+    members = members.select("cid", "v")
     masks = [sum(1 << b for b in bits) for n in range((BLOCK_RADIUS + 1) // 2 + 1) for bits in combinations(range(BLOCK_BITS), n)]
     ball = F.explode(F.from_json(F.lit(str(masks)), "array<bigint>")).alias("mask")
-    variants = values.repartition(partitions(classes.sparkSession), "v").select("v", ball).select(F.col("v").bitwiseXOR(F.col("mask")).alias("centre"), "v")
-    # Nearly every centre has one value, so lists are not begun before the shuffle.
-    met = variants.repartition("centre").groupBy("centre").agg(F.collect_list("v").alias("vs")).where(F.size("vs") > 1)
+    variants = values.repartition(partitions(classes.sparkSession), "v").select("v", "p", ball).select(F.col("v").bitwiseXOR(F.col("mask")).alias("centre"), "p")
+    met = met_values(variants, beside)
     # Balls have radius 1. Two values within 2 bits meet at two centres, of which they are held against each other at one: with the higher of
     # the bits that part them from it not set in it. A member is held if its bit isn't above the highest such bit of the centre's.
     apart_by = F.col("v").bitwiseXOR(F.col("centre"))
@@ -184,6 +213,7 @@ def wide_links(classes: DataFrame, similarity: float) -> DataFrame:
     def near(one: Column, two: Column) -> Column:
         return (apart(one, two, 0, longs) <= wide_radius()) & (apart(one, two, longs, longs + SKETCH_LONGS) <= sketch_distance(similarity))
 
+    values = values.drop("p")
     own = members.join(values, "v").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
     hubs = centres.join(values, "v").groupBy("centre").agg(F.collect_list("hub").alias("hubs"))
     across = hubs.select(F.explode("hubs").alias("a"), F.array_min("hubs").alias("b"))

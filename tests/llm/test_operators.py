@@ -5,6 +5,7 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -510,6 +511,27 @@ def test_keep_first_by_brute_force(spark, odd, tmp_path, source):
     assert sorted(map(tuple, kept.select("doc_id", "text").collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_wide_links_of_moderately_similar_texts(spark):
+    """Fingerprints whose blocks meet but whose longs are far apart make no rows at centres; near ones there are linked all the same."""
+    rng = np.random.default_rng(5)
+    flip = lambda x, k: x ^ sum(1 << int(b) for b in rng.choice(32, k, replace=False))
+    base, fps = [int(b) for b in rng.integers(0, 1 << 32, 4)], {}
+    for i in range(128):  # one block a bit from the base's, the others at random
+        blocks = [int(b) for b in rng.integers(0, 1 << 32, 4)]
+        blocks[i % 4] = base[i % 4] ^ 1 << i // 4
+        fps[i] = blocks
+    for i in range(0, 128, 8):  # a copy within 11 bits: 5, 0 in one long and 3, 3 in the other, or 2, 3 and 3, 3
+        fps[1000 + i] = [flip(b, k) for b, k in zip(fps[i], [(5, 0, 3, 3), (2, 3, 3, 3), (3, 3, 3, 2)][i // 8 % 3])]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    wide = {i: [signed(b[0] | b[1] << 32), signed(b[2] | b[3] << 32), *[0] * simhash.SKETCH_LONGS] for i, b in fps.items()}
+    stage = lambda name: set(Path(spark.conf.get("spark.checkpoint.dir")).glob(f"georank/simhash-{name}-*"))
+    before = stage("centres")
+    got = {(min(r), max(r)) for r in components(simhash.wide_links(spark.createDataFrame(list(wide.items()), "cid long, fp array<long>"), 0.8)).collect() if r[0] != r[1]}
+    (centres,) = stage("centres") - before
+    assert got == {(i, 1000 + i) for i in range(0, 128, 8)}
+    assert 20 < spark.read.parquet(str(centres)).count() < 200
+
+
 def test_wide_fingerprints_find_near_copies():
     """Recall over given texts and copies with random words substituted, of a five-word shingle similarity of 0.8 or more; few far below it."""
     rng = np.random.default_rng(4)
